@@ -1,8 +1,10 @@
 """The ten operators' queries and, where SQL expresses them, their SQL."""
 
-from . import mixing, sharding
+from . import mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_sharding": sharding.op8_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
