@@ -1,8 +1,9 @@
 """The ten operators' queries and, where SQL expresses them, their SQL."""
 
-from . import mixing, quality, secrets, sharding
+from . import fingerprints, mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_sharding": sharding.op8_sharding,
