@@ -1,12 +1,14 @@
 """The ten operators' queries and, where SQL expresses them, their SQL."""
 
-from . import fingerprints, mixing, quality, secrets, sharding
+from . import fingerprints, mixing, packing, quality, secrets, sharding, tokens
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_sharding": sharding.op8_sharding,
+    "op9_token_counts": tokens.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
 

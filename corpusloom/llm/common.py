@@ -85,3 +85,18 @@ def running(
         .withColumn(before, F.col("_ahead") + F.col("_inside"))
         .drop("_w", "_inside", "_ahead", "_b", *[f"_g{i}" for i in range(len(group))])
     )
+
+
+def slices(batch, column: int, most: int = 2 << 20):
+    """The rows of an Arrow batch, in slices of about `most` bytes of a text column: what Python
+    makes of a text is many times its size. A longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
