@@ -8,7 +8,7 @@
 4. Each piece takes the planned slot of its rank among the pieces of its length.
 
 Tokens come from a worker cache by pre-token: the tokenizer never joins a space to what precedes
-it, so a text may be cut before each space that follows another character.
+it, so a text may be cut before each space that follows a character other than white space.
 
 Defined results: null and empty texts are the end id alone; texts are taken whole; repeated rows
 and ids are documents like any other; further columns are ignored; an empty table gives no rows.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENS = "byte_bpe_50k.json"
-PART = re.compile("^[^ ]+| +[^ ]*")
+#: Where a text may be cut: before a space behind a character that is no white space.
+CUT = re.compile(r"(?<=\S)(?= )")
+UNCUT_SPACE = re.compile(r"\s ")
 BUCKETS = 512
 
 
@@ -67,9 +69,10 @@ class Ids:
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        """The text in parts that start with a space each, but for the first."""
-        if "  " in text:
-            return PART.findall(text)
+        """The text in parts that start with a space each, but for the first. White space before a
+        space stays with it: the tokenizer takes such a run together."""
+        if UNCUT_SPACE.search(text):
+            return CUT.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 
