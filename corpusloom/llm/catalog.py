@@ -1,10 +1,12 @@
 """The ten operators' queries and, where SQL expresses them, their SQL."""
 
-from . import fingerprints, mixing, packing, quality, secrets, sharding, tokens
+from . import fingerprints, mixing, packing, pii, quality, secrets, sharding, simhash, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_pii": pii.op4_pii,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_sharding": sharding.op8_sharding,
