@@ -1,6 +1,6 @@
 """The ten operators' queries and, where SQL expresses them, their SQL."""
 
-from . import fingerprints, mixing, packing, pii, quality, secrets, sharding, simhash, tokens
+from . import fingerprints, mixing, packing, pii, quality, secrets, sharding, simhash, substrings, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_suffix_array_dedup": substrings.op7_suffix_array_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
