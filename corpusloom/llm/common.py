@@ -100,3 +100,22 @@ def slices(batch, column: int, most: int = 2 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+class Recent(dict):
+    """A cache of two generations: when `room` entries are new, those used since the last turn
+    stay, and older ones go. Callers fill what `lacking` names, then look up."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.older = room, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def lacking(self, keys: set) -> list:
+        if len(self) > self.room:
+            self.older = dict(self)
+            self.clear()
+        return list(keys - self.keys() - self.older.keys())

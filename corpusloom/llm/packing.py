@@ -46,22 +46,19 @@ class Ids:
             cls.kept[name] = cls(name)
         return cls.kept[name]
 
-    def __init__(self, name: str, room: int = 300_000):
+    def __init__(self, name: str, room: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known: dict[str, bytes] = {}
-        self.room = room
+        self.known = common.Recent(room)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
-        if len(self.known) > self.room:
-            self.known.clear()
-        missing = list(set().union(*cut) - self.known.keys())
+        missing = self.known.lacking(set().union(*cut))
         if missing:
             self.known.update(zip(missing, self._encode(missing)))
         look = self.known.__getitem__

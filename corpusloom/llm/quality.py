@@ -40,12 +40,16 @@ def _chars(text: Column) -> Column:
     return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
 
 
+def _count(line: Column, some: str) -> Column:
+    """How many of some characters a line holds; most hold none, which a search tells sooner."""
+    pattern = "[" + "".join("\\" + c if c in "|\\^$*{}" else c for c in some) + "]"
+    return F.when(line.rlike(pattern), F.length(line) - F.length(F.translate(line, some, ""))).otherwise(0)
+
+
 def line_fails(line: Column) -> Column:
     n = F.size(F.split(line, common.SPACES))
-    symbols = F.length(line) - F.length(F.translate(line, "#*$%&|<>{}=~^\\@", ""))
-    shouts = F.length(line) - F.length(F.translate(line, "!", ""))
-    separators = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
-    punctuation = ~line.rlike(TERMINAL) | (symbols * 5 > _chars(line)) | ((shouts >= 3) & (shouts * 4 > n))
+    symbols, shouts, separators = _count(line, "#*$%&|<>{}=~^\\@"), _count(line, "!"), _count(line, SEPARATORS)
+    punctuation = ~line.rlike(TERMINAL) | ((symbols > 0) & (symbols * 5 > _chars(line))) | ((shouts >= 3) & (shouts * 4 > n))
     navigation = (separators >= 2) & (separators * 3 >= n)
     low = F.lower(line)
     boilerplate = F.lit(False)
@@ -60,7 +64,7 @@ def clean_lines(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: _chars(x) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
@@ -72,9 +76,10 @@ def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     d = d.withColumn("word_chars", _chars(text).cast("long"))
     d = d.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     # A window is hashed word by word, so that words of different lengths can't be confused.
     last = F.col("n_words").cast("int") - (WINDOW - 1)
-    windows = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
+    windows = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW))))
     d = d.withColumn("_windows", F.coalesce(windows, F.array().cast("array<bigint>")))
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
     d = d.withColumn("_sorted", F.when(again, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -85,10 +90,20 @@ def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     ends = F.zip_with("_at", F.slice("_at", F.lit(2), F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     d = d.withColumn("n_repeat_words", F.coalesce(F.aggregate(ends, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"))
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    kept = F.aggregate(F.filter("_lines", lambda x: ~line_fails(x)), F.lit(0), lambda s, x: s + _chars(x))
-    d = d.withColumn("kept_chars", kept.cast("long"))
+    lost = F.aggregate(F.filter("_lines", line_fails), F.lit(0), lambda s, x: s + _chars(x))
+    d = d.withColumn("kept_chars", F.col("word_chars") - lost)
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= (1 - most_lost) * F.col("word_chars")))
-    return d.drop("_words", "_lines", "_windows", "_sorted", "_at")
+    return d.drop("_words", "_hashes", "_lines", "_windows", "_sorted", "_at")
+
+
+def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
+    """The rows of `docs` that are kept, whole.
+
+    A row is repeated once or not at all. A filter would do the same, but the optimizer would copy
+    the whole tree of rules, many times over, into one below the projections.
+    """
+    once = F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("_once")
+    return measure(docs, most_lost).select(*docs.columns, once).select(docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

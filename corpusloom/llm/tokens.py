@@ -48,7 +48,7 @@ def parts(text: str) -> list[str]:
 class Frequent(dict):
     """The first tier; what it lacks is in `rest`, the second."""
 
-    rest: dict[str, int]
+    rest: common.Recent
 
     def __missing__(self, part: str) -> int:
         return self.rest[part]
@@ -74,8 +74,7 @@ class Counts:
         pieces = (self.library.id_to_piece(k) for k in range(self.library.get_piece_size()))
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and self._plain()
         self.frequent = Frequent(zip(words.split(" "), lengths) if words else ())
-        self.frequent.rest = {}
-        self.room = room
+        self.frequent.rest = common.Recent(room)
 
     def _plain(self) -> bool:
         """Whether the library leaves characters and spaces as they are, but for one in front."""
@@ -87,9 +86,7 @@ class Counts:
     def count(self, texts: list[str]) -> list[int]:
         cut = [parts(t) if self.cuts and not ODD.search(t) else None for t in texts]
         rest = self.frequent.rest
-        if len(rest) > self.room:
-            rest.clear()
-        missing = list(set().union(*filter(None, cut)) - self.frequent.keys() - rest.keys())
+        missing = rest.lacking(set().union(*filter(None, cut)) - self.frequent.keys())
         if missing:
             rest.update(zip(missing, map(len, self.library.encode(missing, num_threads=1))))
         if "" in rest:  # a space at a text's end; alone, the library takes it for no text
