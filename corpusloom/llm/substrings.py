@@ -11,9 +11,10 @@
 4. The strings found are joined back to the places of their segments; each text loses the bytes
    that they cover.
 
-Keys with over `hot` distinct segments (the edges of a passage that very many texts share) would
-make a shard of any size. Their segments are cut into single strings, which are keyed by content
-and counted, and so spread over all tasks. Nothing is dropped or capped.
+Keys with over `hot` distinct segments (the edges of a passage that very many texts share, or a
+large group of near copies) would make a shard of any size. Their segments are cut again by longer
+keys, which makes most of them equal, and the strings of what still differs are counted by
+content, and so spread over all tasks. Nothing is dropped or capped.
 
 Texts equal to another text lose every byte that such a string covers, and are taken once in all
 of this. Texts are moved by content, never by doc_id.
@@ -174,8 +175,28 @@ def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - 1
 
 
+def _finely(segments: DataFrame, length: int) -> DataFrame:
+    """`segments` (segment, bytes) cut again into runs, by strings nearly as long as the ones looked
+    for: (key, twice, bytes, segment) of each run, and the segment it is `of`, at `start`."""
+    import xxhash
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in common.slices(batch, 1, 1 << 19):
+                out: list[list] = [[] for _ in range(6)]
+                for name, part in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    for key, start, n, twice in zip(*(x.tolist() for x in runs(part, length, length - length // 10))):
+                        run = part[start : start + n + length - 1]
+                        for column, x in zip(out, (key, twice, run, xxhash.xxh3_128_digest(run), name, start)):
+                            column.append(x)
+                kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "twice", "bytes", "segment", "of", "start"])
+
+    return segments.select("segment", "bytes").mapInArrow(rows, "key bigint, twice boolean, bytes binary, segment binary, of binary, start bigint")
+
+
 def _in_strings(segments: DataFrame, length: int) -> DataFrame:
-    """The same for segments of hot keys: each string is counted by its content."""
+    """The same as _in_shards for segments of keys of any size: each string is counted by content."""
     import xxhash
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +207,40 @@ def _in_strings(segments: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([name] * n, pa.binary()), pa.array(np.arange(n))], ["h", "h2", "segment", "at"])
 
     strings = segments.select("segment", "bytes").mapInArrow(rows, "h bigint, h2 bigint, segment binary, at bigint")
-    strings = common.written(strings)
     place = F.xxhash64("segment", "at")
     again = common.cut(strings.groupBy("h", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h", "h2"))
     hits = strings.join(again, ["h", "h2"]).groupBy("segment").agg(F.collect_list("at").alias("at"))
     return hits.select("segment", F.transform("at", lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("found"))
 
 
+def _answers(pieces: DataFrame, length: int, hot: int | None) -> DataFrame:
+    """`pieces` (key, twice, bytes, segment), one for each place, as (segment, found): the stretches
+    of strings that start elsewhere; written out. `hot`: None for pieces of hot segments."""
+    distinct = pieces.groupBy("segment").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.max("twice").alias("twice"), F.count("*").alias("times"))
+    distinct = common.written(distinct)
+    by_key = distinct.groupBy("key").agg(F.count("*").alias("distinct"), F.sum(F.octet_length("bytes")).alias("size"), F.max("twice").alias("twice"))
+    # A key with one segment has its answer in the count, unless strings may repeat within.
+    open_ = common.cut(by_key.where("distinct > 1 OR twice").select("key", "distinct", "size"))
+    rest = distinct.join(open_, "key")
+    if hot is None:
+        found = _in_strings(rest, length)
+    else:
+        total = open_.where(F.col("distinct") <= hot).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
+        found = _in_shards(rest.where(F.col("distinct") <= hot), max(1, -(-total // SHARD_BYTES)), length)
+        if not open_.where(F.col("distinct") > hot).isEmpty():
+            fine = common.written(_finely(rest.where(F.col("distinct") > hot), length))
+            hits = _shifted(fine.select("segment", F.col("of").alias("to"), "start"), _answers(fine, length, None))
+            found = found.unionByName(hits.withColumnRenamed("to", "segment"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("bytes") - length).cast("long").alias("last")))
+    return common.cut(found.unionByName(distinct.where("times > 1").select("segment", whole.alias("found"))))
+
+
+def _shifted(places: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found in segments, for each `to` that they lie in at `start`."""
+    moved = F.transform("found", lambda x: F.struct((x["first"] + F.col("start")).alias("first"), (x["last"] + F.col("start")).alias("last")))
+    return places.join(found, "segment").select("to", moved.alias("found")).groupBy("to").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
 def removable(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """`texts` (content, text) with repeats as (content, text, found): the stretches of starts of
     strings that start elsewhere in another text or in the same one. Texts without any are left out."""
@@ -205,22 +253,8 @@ def removable(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFra
     chosen = common.written(once.join(wanted, "content").select("content", F.explode("texts").alias("text"), "runs"))
 
     segments = _segments(chosen, length)
-    distinct = segments.groupBy("segment").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.max("twice").alias("twice"), F.count("*").alias("times"))
-    distinct = common.written(distinct)
-    single = distinct.groupBy("key").agg(F.count("*").alias("distinct"), F.sum(F.octet_length("bytes")).alias("size"), F.max("twice").alias("twice"))
-    # A key with one segment has its answer in the count, unless strings may repeat within.
-    open_ = common.cut(single.where("distinct > 1 OR twice").select("key", "distinct", "size"))
-    total = open_.where(F.col("distinct") <= hot).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
-    rest = distinct.join(open_, "key")
-    found = _in_shards(rest.where(F.col("distinct") <= hot), max(1, -(-total // SHARD_BYTES)), length)
-    found = found.unionByName(_in_strings(rest.where(F.col("distinct") > hot), length))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("bytes") - length).cast("long").alias("last")))
-    found = common.cut(found.unionByName(distinct.where("times > 1").select("segment", whole.alias("found"))))
-
-    places = segments.select("segment", "content", "start")
-    shifted = F.transform("found", lambda x: F.struct((x["first"] + F.col("start")).alias("first"), (x["last"] + F.col("start")).alias("last")))
-    hits = places.join(found, "segment").select("content", shifted.alias("found"))
-    hits = hits.groupBy("content").agg(F.flatten(F.collect_list("found")).alias("found"))
+    found = _answers(segments.select("key", "twice", "bytes", "segment"), length, hot)
+    hits = _shifted(segments.select("segment", F.col("content").alias("to"), "start"), found).withColumnRenamed("to", "content")
     return chosen.select("content", "text").join(hits, "content")
 
 
