@@ -1,4 +1,12 @@
 """Registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusloom.operators import statistics
+from corpusloom.sources import corpus
+
+from . import fingerprint_sql, shared
+
+QUERIES: dict = {"fingerprint_v1": statistics.fingerprint}
+ORACLE_SQL: dict = {"fingerprint_v1": fingerprint_sql.sql(corpus.SQL, statistics.NAMES)}
+
+QUERIES |= {name: shared.query(text) for name, text in shared.TEXTS.items()}
+ORACLE_SQL |= {name: shared.oracle(text) for name, text in shared.TEXTS.items()}
