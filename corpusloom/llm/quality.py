@@ -103,7 +103,9 @@ def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     the whole tree of rules, many times over, into one below the projections.
     """
     once = F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("_once")
-    return measure(docs, most_lost).select(*docs.columns, once).select(docs.columns)
+    # Rows travel as one value, so that their columns may have any names.
+    rows = measure(docs.select("text", F.struct("*").alias("_row")), most_lost)
+    return rows.select("_row", once).select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
