@@ -157,7 +157,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def firsts(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 5) -> DataFrame:
+def firsts(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """`docs` (doc_id, text, ...) with one row of each component: that of the least doc_id, and of
     rows with that id the one with the least text.
 
