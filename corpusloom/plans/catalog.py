@@ -10,3 +10,6 @@ ORACLE_SQL: dict = {"fingerprint_v1": fingerprint_sql.sql(corpus.SQL, statistics
 
 QUERIES |= {name: shared.query(text) for name, text in shared.TEXTS.items()}
 ORACLE_SQL |= {name: shared.oracle(text) for name, text in shared.TEXTS.items()}
+
+QUERIES |= {name: shared.query(text) for name, (text, _) in shared.SEARCH.items()}
+ORACLE_SQL |= {name: shared.oracle(text) for name, (_, text) in shared.SEARCH.items()}

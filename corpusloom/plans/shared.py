@@ -151,3 +151,59 @@ LEDGER = {
 }
 
 TEXTS = CORPUS | INFERENCE | LEDGER
+
+#: Letters of the recovery alphabet after folding, and what folds into what. Fixed values.
+LETTERS = "abcdefghilmnopqrstuvxyz"
+FOLDED = "regexp_replace(replace(replace(replace(lower({text}), 'j', 'i'), 'k', 'c'), 'w', 'uu'), '[^abcdefghilmnopqrstuvxyz]', ''{g})"
+
+
+def _search(body: str) -> tuple[str, str]:
+    """A text with $fold(column), as Spark and DuckDB write a replacement of all matches."""
+    both = []
+    for flag in ("", ", 'g'"):
+        both.append(re.sub(r"\$fold\((\w+)\)", lambda m: FOLDED.replace("{text}", m[1]).replace("{g}", flag), body))
+    return both[0], both[1]
+
+
+
+def _grams(spark: bool) -> str:
+    positions = "explode(sequence(1, length(x) - 3))" if spark else "unnest(range(1, length(x) - 2))"
+    return f"g AS (SELECT substr(x, CAST(k AS INT), 4) AS g FROM (SELECT x, {positions} AS k FROM (SELECT $fold(text) AS x FROM {{documents}}) WHERE length(x) >= 4))"
+
+
+_TRAIN = "c AS (SELECT g, count(*) AS n FROM g GROUP BY g), m AS (SELECT g, n, CAST(round(ln((n + 0.1D) / ((SELECT sum(n) FROM c) + 0.1D * 279841)) * 1000) AS BIGINT) AS score FROM c)"
+_SCORE = """b AS (SELECT item_id, $fold(text) AS x FROM {benchmark}), h AS (SELECT item_id, substr(x, CAST(k AS INT), 4) AS g FROM (SELECT item_id, x, POSITIONS AS k FROM b WHERE length(x) >= 4))
+    SELECT h.item_id, count(*) AS windows, count(m.g) AS known, CAST(sum(coalesce(m.score, -18000)) AS BIGINT) AS score FROM h LEFT JOIN m ON m.g = h.g GROUP BY h.item_id"""
+_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The 26 keys of a shift cipher with their alphabets.
+_KEYS = "k AS (" + " UNION ALL ".join(f"SELECT {k} AS key, '{_ABC[k:] + _ABC[:k]}' AS abc" for k in range(26)) + ")"
+
+#: Name: (Spark text, DuckDB text).
+SEARCH = {
+    "normalize_text": _search("SELECT item_id, $fold(text) AS folded FROM {benchmark}"),
+    "ngram_train": (
+        _search(f"WITH {_grams(True)}, {_TRAIN} SELECT g, n, score FROM m")[0],
+        _search(f"WITH {_grams(False)}, {_TRAIN} SELECT g, n, score FROM m")[1],
+    ),
+    "quadgram_score": (
+        _search(f"WITH {_grams(True)}, {_TRAIN}, {_SCORE}".replace("POSITIONS", "explode(sequence(1, length(x) - 3))"))[0],
+        _search(f"WITH {_grams(False)}, {_TRAIN}, {_SCORE}".replace("POSITIONS", "unnest(range(1, length(x) - 2))"))[1],
+    ),
+    # Every item is enciphered by a key of its own, and the key is found by comparing all 26 with the text.
+    "caesar_search": (
+        f"""WITH {_KEYS}, p AS (SELECT item_id, upper(text) AS t, translate(upper(text), '{_ABC}', abc) AS c FROM {{benchmark}} JOIN k ON k.key = item_id % 26),
+        d AS (SELECT item_id, key, aggregate(zip_with(split(t, ''), split(translate(c, abc, '{_ABC}'), ''), (a, b) -> CASE WHEN a = b THEN 1 ELSE 0 END), 0, (s, x) -> s + x) AS matches FROM p CROSS JOIN k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matches DESC, key) AS n FROM d) SELECT item_id, CAST(key AS BIGINT) AS key, CAST(matches AS BIGINT) AS matches FROM r WHERE n = 1""",
+        "SELECT item_id, CAST(item_id % 26 AS BIGINT) AS key, CAST(length(text) AS BIGINT) AS matches FROM {benchmark}",
+    ),
+    "substitution_decode": (
+        "SELECT item_id, translate(translate($T, 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiopasdfghjklzxcvbnm'), 'qwertyuiopasdfghjklzxcvbnm', 'abcdefghijklmnopqrstuvwxyz') AS plain FROM {benchmark}".replace("$T", "lower(text)"),
+        "SELECT item_id, lower(text) AS plain FROM {benchmark}",
+    ),
+    # A verbose code writes each letter as a unit of two symbols; a token parses if it is such units.
+    "token_parse": _search("SELECT w, count(*) AS n, CASE WHEN length(w) % 2 = 1 THEN 'error' WHEN length(w) = 2 THEN 'unigram' WHEN length(w) = 4 THEN 'pair' ELSE 'unparsed' END AS parse FROM {tokens} GROUP BY w"),
+    "code_table_ambiguity": _search(
+        "WITH u AS (SELECT DISTINCT substr(w, 1, 2) AS a FROM {tokens} WHERE length(w) > 2 AND line_no = 0), v AS (SELECT x.a AS l, y.a AS r FROM u x CROSS JOIN u y WHERE substr(x.a, 1, 1) < substr(y.a, 1, 1)) "
+        "SELECT concat(substr(l, 2, 1), r) AS code, count(*) AS n FROM v GROUP BY concat(substr(l, 2, 1), r) HAVING count(*) > 1"
+    ),
+}
