@@ -1,7 +1,8 @@
 """Registered queries and their SQL equivalents."""
 
-from corpusloom.operators import statistics
+from corpusloom.operators import distances, generators, search, statistics
 from corpusloom.sources import corpus
+from corpusloom.streaming import credit
 
 from . import fingerprint_sql, shared
 
@@ -13,3 +14,8 @@ ORACLE_SQL |= {name: shared.oracle(text) for name, text in shared.TEXTS.items()}
 
 QUERIES |= {name: shared.query(text) for name, (text, _) in shared.SEARCH.items()}
 ORACLE_SQL |= {name: shared.oracle(text) for name, (_, text) in shared.SEARCH.items()}
+
+QUERIES |= {f"gen_{family}": generators.registered(family) for family in generators.FAMILIES}
+QUERIES |= {"anneal_search": search.anneal_search, "beam_search": search.beam_search}
+QUERIES |= {"stream_credit": credit.stream_credit, "stream_rate_limit": credit.stream_rate_limit, "z_distance_by_label": distances.z_distance}
+ORACLE_SQL |= {**credit.ORACLE_SQL, "z_distance_by_label": distances.SQL}

@@ -166,14 +166,19 @@ def _search(body: str) -> tuple[str, str]:
 
 
 
-def _grams(spark: bool) -> str:
-    positions = "explode(sequence(1, length(x) - 3))" if spark else "unnest(range(1, length(x) - 2))"
-    return f"g AS (SELECT substr(x, CAST(k AS INT), 4) AS g FROM (SELECT x, {positions} AS k FROM (SELECT $fold(text) AS x FROM {{documents}}) WHERE length(x) >= 4))"
+def _grams(spark: bool, table: str = "documents", column: str = "") -> str:
+    """Every four-letter string of the folded texts. Spark makes them inside a row, so that a text
+    isn't copied for each of its letters, and from single letters, as a place in a text is found by
+    walking to it."""
+    if spark:
+        each = "explode(transform(sequence(1, size(a) - 3), k -> concat(element_at(a, k), element_at(a, k + 1), element_at(a, k + 2), element_at(a, k + 3))))"
+        return f"SELECT {column}{each} AS g FROM (SELECT {column}split($fold(text), '') AS a FROM {{{table}}}) WHERE size(a) >= 4"
+    each = "unnest(list_transform(range(1, length(x) - 2), lambda k: substr(x, k, 4)))"
+    return f"SELECT {column}{each} AS g FROM (SELECT {column}$fold(text) AS x FROM {{{table}}}) WHERE length(x) >= 4"
 
 
 _TRAIN = "c AS (SELECT g, count(*) AS n FROM g GROUP BY g), m AS (SELECT g, n, CAST(round(ln((n + 0.1D) / ((SELECT sum(n) FROM c) + 0.1D * 279841)) * 1000) AS BIGINT) AS score FROM c)"
-_SCORE = """b AS (SELECT item_id, $fold(text) AS x FROM {benchmark}), h AS (SELECT item_id, substr(x, CAST(k AS INT), 4) AS g FROM (SELECT item_id, x, POSITIONS AS k FROM b WHERE length(x) >= 4))
-    SELECT h.item_id, count(*) AS windows, count(m.g) AS known, CAST(sum(coalesce(m.score, -18000)) AS BIGINT) AS score FROM h LEFT JOIN m ON m.g = h.g GROUP BY h.item_id"""
+_SCORE = "SELECT h.item_id, count(*) AS windows, count(m.g) AS known, CAST(sum(coalesce(m.score, -18000)) AS BIGINT) AS score FROM h LEFT JOIN m ON m.g = h.g GROUP BY h.item_id"
 _ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The 26 keys of a shift cipher with their alphabets.
 _KEYS = "k AS (" + " UNION ALL ".join(f"SELECT {k} AS key, '{_ABC[k:] + _ABC[:k]}' AS abc" for k in range(26)) + ")"
@@ -181,17 +186,11 @@ _KEYS = "k AS (" + " UNION ALL ".join(f"SELECT {k} AS key, '{_ABC[k:] + _ABC[:k]
 #: Name: (Spark text, DuckDB text).
 SEARCH = {
     "normalize_text": _search("SELECT item_id, $fold(text) AS folded FROM {benchmark}"),
-    "ngram_train": (
-        _search(f"WITH {_grams(True)}, {_TRAIN} SELECT g, n, score FROM m")[0],
-        _search(f"WITH {_grams(False)}, {_TRAIN} SELECT g, n, score FROM m")[1],
-    ),
-    "quadgram_score": (
-        _search(f"WITH {_grams(True)}, {_TRAIN}, {_SCORE}".replace("POSITIONS", "explode(sequence(1, length(x) - 3))"))[0],
-        _search(f"WITH {_grams(False)}, {_TRAIN}, {_SCORE}".replace("POSITIONS", "unnest(range(1, length(x) - 2))"))[1],
-    ),
+    "ngram_train": tuple(_search(f"WITH g AS ({_grams(k == 0)}), {_TRAIN} SELECT g, n, score FROM m")[k] for k in (0, 1)),
+    "quadgram_score": tuple(_search(f"WITH g AS ({_grams(k == 0)}), {_TRAIN}, h AS ({_grams(k == 0, 'benchmark', 'item_id, ')}) {_SCORE}")[k] for k in (0, 1)),
     # Every item is enciphered by a key of its own, and the key is found by comparing all 26 with the text.
     "caesar_search": (
-        f"""WITH {_KEYS}, p AS (SELECT item_id, upper(text) AS t, translate(upper(text), '{_ABC}', abc) AS c FROM {{benchmark}} JOIN k ON k.key = item_id % 26),
+        f"""WITH {_KEYS}, u AS (SELECT item_id, translate(text, '{_ABC.lower()}', '{_ABC}') AS t FROM {{benchmark}}), p AS (SELECT item_id, t, translate(t, '{_ABC}', abc) AS c FROM u JOIN k ON k.key = item_id % 26),
         d AS (SELECT item_id, key, aggregate(zip_with(split(t, ''), split(translate(c, abc, '{_ABC}'), ''), (a, b) -> CASE WHEN a = b THEN 1 ELSE 0 END), 0, (s, x) -> s + x) AS matches FROM p CROSS JOIN k),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matches DESC, key) AS n FROM d) SELECT item_id, CAST(key AS BIGINT) AS key, CAST(matches AS BIGINT) AS matches FROM r WHERE n = 1""",
         "SELECT item_id, CAST(item_id % 26 AS BIGINT) AS key, CAST(length(text) AS BIGINT) AS matches FROM {benchmark}",
