@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ AFFIXES_FIRST, AFFIXES_LAST = ("qo", "o", "d", "s"), ("y", "dy", "in", "l")
 EDGE = "."
 
 
+@cache
 def letters(exponent: float) -> list[int]:
     """Running sums of the letters' weights, which fall with a power of the rank."""
     return list(accumulate(max(1, int(1e6 / math.exp(exponent * math.log(k)))) for k in range(1, len(ALPHABET) + 1)))
