@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import struct
 
+import numpy as np
+
 MASK = 0xFFFFFFFF
 #: The words "expand 32-byte k".
 SIGMA = (0x61707865, 0x3320646E, 0x79622D32, 0x6B206574)
@@ -29,20 +31,35 @@ def block(key: tuple[int, ...], counter: int) -> tuple[int, ...]:
     return tuple((v + s) & MASK for v, s in zip(x, start))
 
 
+def blocks(key: tuple[int, ...], counter: int, n: int) -> list[int]:
+    """The 64-bit numbers of `n` blocks on from `counter`: eight to a block, low word first."""
+    at = np.arange(counter, counter + n, dtype=np.uint64)
+    start = [np.full(n, v, np.uint32) for v in (*SIGMA, *key)] + [at.astype(np.uint32), (at >> np.uint64(32)).astype(np.uint32)] + [np.zeros(n, np.uint32)] * 2
+    x = list(start)
+    for _ in range(4):
+        for a, b, c, d in QUARTERS:
+            for p, q, r, turn in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
+                x[p] = x[p] + x[q]
+                v = x[r] ^ x[p]
+                x[r] = v << np.uint32(turn) | v >> np.uint32(32 - turn)
+    words = np.stack([v + s for v, s in zip(x, start)], axis=1).astype(np.uint64)
+    return (words[:, 1::2] << np.uint64(32) | words[:, ::2]).ravel().tolist()
+
+
 class Stream:
-    """Draws from the blocks, one after the other."""
+    """Draws from the blocks, one after the other; blocks are made by the dozen, and more at a time
+    as more are drawn."""
 
     def __init__(self, salt: bytes, seed: int):
         self.key = struct.unpack("<8I", hashlib.sha256(salt + b"\0" + struct.pack("<Q", seed)).digest())
-        self.counter, self.words = 0, []
+        self.counter, self.made, self.numbers = 0, 4, iter(())
 
     def u64(self) -> int:
-        if len(self.words) < 2:
-            self.words += block(self.key, self.counter)
-            self.counter += 1
-        low, high = self.words[:2]
-        del self.words[:2]
-        return high << 32 | low
+        for x in self.numbers:
+            return x
+        self.numbers = iter(blocks(self.key, self.counter, self.made))
+        self.counter, self.made = self.counter + self.made, min(128, 2 * self.made)
+        return next(self.numbers)
 
     def below(self, n: int) -> int:
         """Uniform under n: draws past the last whole multiple of n are drawn again."""

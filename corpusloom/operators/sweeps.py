@@ -139,7 +139,7 @@ def refine(spark: SparkSession, sf_dir: str, levels: int = 2) -> DataFrame:
     return spark.createDataFrame([(r["level"], r["p_modify"], r["median"]) for r in found], "level int, p_modify double, median double")
 
 
-def conditional_rank_test(spark: SparkSession, sf_dir: str, references: int = 12, draws: int = 40) -> DataFrame:
+def conditional_rank_test(spark: SparkSession, sf_dir: str, references: int = 8, draws: int = 24) -> DataFrame:
     """(observed, p): the rank of the passage's distance among fresh corpora of the family, each
     scored against a target rebuilt from the references. The line length has no weight: it is given
     by the layout."""

@@ -11,6 +11,13 @@ def test_block_of_zeros():
     assert struct.pack("<16I", *block((0,) * 8, 0)).hex().startswith("3e00ef2f895f40d67f5bb8e81f09a5a1")
 
 
+def test_numbers_are_the_blocks_words():
+    draws = Stream(b"k", 9)
+    for counter in range(40):
+        words = block(draws.key, counter)
+        assert [draws.u64() for _ in range(8)] == [high << 32 | low for low, high in zip(words[::2], words[1::2])]
+
+
 def test_streams_repeat():
     assert [Stream(b"a", 5).below(100) for _ in range(3)] == [Stream(b"a", 5).below(100)] * 3
     draws = Stream(b"a", 6)
