@@ -2,7 +2,7 @@
 
 Every line with a word is judged by three rules:
 
-* punctuation: it ends without terminal punctuation, or symbols make up over a fifth of its
+* punctuation: no sentence ends in it or at its end, or symbols make up over a fifth of its
   characters, or at least three exclamation marks stand for over a quarter of its words;
 * navigation: at least two separators, and one for at most every third word;
 * boilerplate: it holds a stock phrase (cookie notices, rights, script notices, placeholders).
@@ -31,7 +31,7 @@ BOILERPLATE = (
     "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "sign up for our newsletter", "subscribe to our",
     "skip to content", "back to top", "share this page", "log in to comment", "powered by",
 )
-TERMINAL = r"[.!?…:;。！？][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
+TERMINAL = r"[.!?…:;。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|\z)"
 SEPARATORS = "|»›·•"
 
 
