@@ -118,4 +118,4 @@ class Recent(dict):
         if len(self) > self.room:
             self.older = dict(self)
             self.clear()
-        return list(keys - self.keys() - self.older.keys())
+        return [k for k in keys if k not in self and k not in self.older]

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,21 @@ UNCUT_SPACE = re.compile(r"\s ")
 BUCKETS = 512
 
 
+#: Texts whose words the tokenizer's pattern splits as WORDS does: Latin letters, digits and signs
+#: but for the apostrophe, which may start a word of its own, and the < of special tokens.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[ \\n{LATIN}0-9.,!?;:*$%&#()|+=_@/-]+")
+WORDS = re.compile(f" ?[{LATIN}]+| ?[0-9]+| ?[^ \\n{LATIN}0-9]+|[ \\n]+(?![^ \\n])|[ \\n]+")
+RANKS = "byte_bpe_50k.tiktoken"
+
+
 class Ids:
-    """Token ids in one worker process, as little-endian unsigned 32-bit integers."""
+    """Token ids in one worker process, as little-endian unsigned 32-bit integers.
+
+    The library spends most of its time on what surrounds a word's merges. Plain words are merged
+    by their ranks alone, from the file that holds the same vocabulary as ranks; all else, and any
+    other vocabulary, goes to the library.
+    """
 
     kept: dict = {}
 
@@ -51,7 +66,16 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known = common.Recent(room)
+        self.known, self.words = common.Recent(room), common.Recent(room)
+        self.merges = None
+        if name == TOKENS and sys.byteorder == "little":
+            import base64
+
+            import tiktoken
+
+            with open(public_tokenizers.path(RANKS), "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            self.merges = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
@@ -59,8 +83,14 @@ class Ids:
     def of_texts(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
         missing = self.known.lacking(set().union(*cut))
-        if missing:
-            self.known.update(zip(missing, self._encode(missing)))
+        plain = {p: WORDS.findall(p) for p in missing if self.merges and PLAIN.fullmatch(p)}
+        for word in self.words.lacking(set().union(*plain.values())):
+            self.words[word] = array("I", self.merges(word.encode())).tobytes()
+        look = self.words.__getitem__
+        self.known.update((p, b"".join(map(look, words))) for p, words in plain.items())
+        others = [p for p in missing if p not in plain]
+        if others:
+            self.known.update(zip(others, self._encode(others)))
         look = self.known.__getitem__
         return [b"".join(map(look, ps)) for ps in cut]
 
