@@ -34,20 +34,25 @@ THRESHOLD = 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def hashes(text: str, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles; a text of fewer words is one shingle."""
     import xxhash
 
     words = text.encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, len(words)) - 1
     starts = [0, *ends[: len(words) - 1 - k].tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[k:] - 1).tolist())], np.uint64)
-    return _majority(h)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[k:] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    h = hashes(text, shingle)
+    return _majority(h) if len(h) else 0
 
 
 def _majority(h: np.ndarray) -> int:
@@ -155,21 +160,3 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE)
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def firsts(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """`docs` (doc_id, text, ...) with one row of each component: that of the least doc_id, and of
-    rows with that id the one with the least text.
-
-    The texts aren't moved: only the rows' ids and content addresses are compared.
-    """
-    address = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    marked = grouped(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = marked.select("doc_id").distinct()
-    # Rows of one id may have several texts, or one text several times.
-    rows = docs.select("doc_id", address.alias("_address")).groupBy("doc_id").agg(F.min("_address").alias("_first"), F.count("*").alias("_rows"))
-    chosen = common.cut(chosen.join(rows, chosen["doc_id"].eqNullSafe(rows["doc_id"])).select(chosen["doc_id"].alias("_chosen"), "_first", "_rows"))
-    kept = docs.withColumn("_address", address).join(chosen, F.col("doc_id").eqNullSafe(F.col("_chosen")) & (F.col("_address") == F.col("_first")))
-    single = kept.where("_rows = 1")
-    several = kept.where("_rows > 1").dropDuplicates(["doc_id", "_address"])
-    return single.unionByName(several).select(docs.columns)
