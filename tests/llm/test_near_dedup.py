@@ -51,3 +51,14 @@ def test_edited_copies_against_brute_force(spark, table):
     bits = [simhash.fingerprint(t) for t in texts]
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if expected[a] == expected[b]]
     assert any((bits[a] ^ bits[b]).bit_count() > 2 for a, b in pairs)
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(900)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(6)]
+    # Two texts of null ids, two of one id, one with a null and a known id, one row twice.
+    ids = [(None, 0), (None, 1), (7, 2), (7, 3), (None, 4), (9, 4), (5, 5), (5, 5)]
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in ids], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], texts.index(r["text"])) for r in minhash.firsts(docs).collect()), key=lambda x: x[1])
+    assert got == [(None, 0), (None, 1), (7, 2), (7, 3), (9, 4), (5, 5)]
