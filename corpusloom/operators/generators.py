@@ -13,7 +13,7 @@ from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.random import Stream
@@ -140,10 +140,46 @@ def slotgram(rng: Stream, layout: list[int], params: dict, model) -> list[list[s
 FAMILIES = {"gibberish": gibberish, "bagofwords": bagofwords, "charmarkov": charmarkov, "selfcite": selfcite, "slotgram": slotgram}
 
 
-def word_bag(tokens: DataFrame, size: int = 2000) -> list[tuple[str, int]]:
-    """The most frequent words with their counts; the size is the model's own limit."""
-    counted = tokens.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return [(r["w"], r["n"]) for r in counted.collect()]
+def word_bag(tokens: DataFrame) -> DataFrame:
+    """(w, n, before, total): every word with its count and the running sum before it, the most
+    frequent words first."""
+    counted = tokens.groupBy("w").agg(F.count("*").alias("n"))
+    # Words of one count are many; their first letters keep the order.
+    counted = counted.withColumn("head", F.left("w", F.lit(2)))
+    part = Window.partitionBy("n", "head").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    inside = counted.withColumn("inside", F.sum("n").over(part) - F.col("n"))
+    sums = counted.groupBy("n", "head").agg(F.sum("n").alias("sum"))
+    everything = Window.partitionBy(F.lit(0))
+    upto = F.sum("sum").over(everything.orderBy(F.desc("n"), "head").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.select("n", "head", (upto - F.col("sum")).alias("ahead"), F.sum("sum").over(everything).alias("total"))
+    return inside.join(sums, ["n", "head"]).select("w", "n", (F.col("ahead") + F.col("inside")).alias("before"), "total")
+
+
+def drawn_from_bag(spark: SparkSession, layout: list[int], seeds: int, bag: DataFrame, salt: str = "") -> DataFrame:
+    """bagofwords() over a table, as (seed, line_no, words): the same draws, found by a range join.
+
+    Running sums are cut into blocks of a width that makes about five rows a word of the bag, so a
+    draw is compared with few words.
+    """
+    types, total = bag.agg(F.count("*"), F.max("total")).first()
+    key = f"bagofwords:{salt}".encode()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                rng = Stream(key, seed)
+                lines = [[rng.u64() % total for _ in range(n)] for n in layout]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([seed] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.list_(pa.int64()))], ["seed", "line_no", "draws"]
+                )
+
+    width = max(1, (total or 0) // (4 * max(types, 1)))
+    draws = spark.range(seeds).mapInArrow(rows, "seed bigint, line_no int, draws array<bigint>")
+    draws = draws.select("seed", "line_no", F.posexplode_outer("draws").alias("i", "draw")).withColumn("block", F.expr(f"draw div {width}"))
+    words = bag.select("w", "n", "before", F.explode(F.sequence(F.expr(f"before div {width}"), F.expr(f"(before + n - 1) div {width}"))).alias("block"))
+    found = draws.join(words, (draws["block"] == words["block"]) & (F.col("draw") >= F.col("before")) & (F.col("draw") < F.col("before") + F.col("n")), "left")
+    line = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("i", "w"))))
+    return found.groupBy("seed", "line_no").agg(F.transform(line, lambda x: x["w"]).alias("words"))
 
 
 def glyph_model(lines: DataFrame, order: int = 3) -> DataFrame:
@@ -186,12 +222,13 @@ def registered(family: str):
     """The query: eight seeds of a family over the corpus's first lines."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model = None
-        if family == "bagofwords":
-            model = {"bag": word_bag(corpus.tokens(spark, sf_dir))}
+        model, layout = None, layout_of(spark, sf_dir)
         if family == "charmarkov":
             model = glyph_table(glyph_model(corpus.lines(spark, sf_dir)), 3)
-        made = simulate(spark, family, layout_of(spark, sf_dir), 8, model=model)
+        if family == "bagofwords":
+            made = drawn_from_bag(spark, layout, 8, word_bag(corpus.tokens(spark, sf_dir)))
+        else:
+            made = simulate(spark, family, layout, 8, model=model)
         return made.select("seed", "line_no", F.array_join("words", ".").alias("line"))
 
     return run
