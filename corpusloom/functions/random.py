@@ -7,11 +7,15 @@ draws is part of every generator's result.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 
 MASK = 0xFFFFFFFF
+LARGEST = (1 << 64) - 1
 #: The words "expand 32-byte k".
 SIGMA = (0x61707865, 0x3320646E, 0x79622D32, 0x6B206574)
 #: Columns, then diagonals, of the 4 x 4 state.
@@ -31,58 +35,80 @@ def block(key: tuple[int, ...], counter: int) -> tuple[int, ...]:
     return tuple((v + s) & MASK for v, s in zip(x, start))
 
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
 def blocks(key: tuple[int, ...], counter: int, n: int) -> list[int]:
-    """The 64-bit numbers of `n` blocks on from `counter`: eight to a block, low word first."""
+    """The 64-bit numbers of `n` blocks on from `counter`: eight to a block, low word first.
+
+    The state's rows are taken together: a round works on its four columns at once, and on its
+    diagonals as columns of the rows turned against each other.
+    """
     at = np.arange(counter, counter + n, dtype=np.uint64)
-    start = [np.full(n, v, np.uint32) for v in (*SIGMA, *key)] + [at.astype(np.uint32), (at >> np.uint64(32)).astype(np.uint32)] + [np.zeros(n, np.uint32)] * 2
-    x = list(start)
+    start = np.empty((4, 4, n), np.uint32)
+    start[:3] = np.array([*SIGMA, *key], np.uint32).reshape(3, 4, 1)
+    start[3, 0], start[3, 1], start[3, 2:] = at.astype(np.uint32), (at >> np.uint64(32)).astype(np.uint32), 0
+    a, b, c, d = start
     for _ in range(4):
-        for a, b, c, d in QUARTERS:
-            for p, q, r, turn in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
-                x[p] = x[p] + x[q]
-                v = x[r] ^ x[p]
-                x[r] = v << np.uint32(turn) | v >> np.uint32(32 - turn)
-    words = np.stack([v + s for v, s in zip(x, start)], axis=1).astype(np.uint64)
+        for turn in (1, -1):
+            a = a + b
+            d = _turned(d ^ a, 16)
+            c = c + d
+            b = _turned(b ^ c, 12)
+            a = a + b
+            d = _turned(d ^ a, 8)
+            c = c + d
+            b = _turned(b ^ c, 7)
+            b, c, d = b[[turn % 4, (1 + turn) % 4, (2 + turn) % 4, (3 + turn) % 4]], c[[2, 3, 0, 1]], d[[-turn % 4, (1 - turn) % 4, (2 - turn) % 4, (3 - turn) % 4]]
+    words = (np.stack([a, b, c, d]) + start).reshape(16, n).T.astype(np.uint64)
     return (words[:, 1::2] << np.uint64(32) | words[:, ::2]).ravel().tolist()
 
 
+def numbers(key: tuple[int, ...]) -> Iterator[int]:
+    """The numbers of all blocks; more are made at a time as more are drawn."""
+    counter, made = 0, 4
+    while True:
+        yield from blocks(key, counter, made)
+        counter, made = counter + made, min(2048, 2 * made)
+
+
+def threshold(p: float) -> int:
+    """chance(p) holds for the draws under this."""
+    return math.ceil(p * 2.0**53) << 11
+
+
 class Stream:
-    """Draws from the blocks, one after the other; blocks are made by the dozen, and more at a time
-    as more are drawn."""
+    """Draws, one after the other: `draw()` gives 64 bits, the others what they make of them."""
 
     def __init__(self, salt: bytes, seed: int):
         self.key = struct.unpack("<8I", hashlib.sha256(salt + b"\0" + struct.pack("<Q", seed)).digest())
-        self.counter, self.made, self.numbers = 0, 4, iter(())
+        self.draw = numbers(self.key).__next__
 
     def u64(self) -> int:
-        for x in self.numbers:
-            return x
-        self.numbers = iter(blocks(self.key, self.counter, self.made))
-        self.counter, self.made = self.counter + self.made, min(128, 2 * self.made)
-        return next(self.numbers)
+        return self.draw()
 
     def below(self, n: int) -> int:
-        """Uniform under n: draws past the last whole multiple of n are drawn again."""
-        whole = (1 << 64) - (1 << 64) % n
-        while (x := self.u64()) >= whole:
+        """Uniform under n: draws beyond the last whole multiple of n are drawn again."""
+        whole = LARGEST - LARGEST % n
+        while (x := self.draw()) >= whole:
             pass
         return x % n
 
     def unit(self) -> float:
         """The top 53 bits, in [0, 1)."""
-        return (self.u64() >> 11) * 2.0**-53
+        return (self.draw() >> 11) * 2.0**-53
 
     def chance(self, p: float) -> bool:
-        return self.unit() < p
+        return self.draw() < threshold(p)
 
     def weighted(self, cumulative: list[int]) -> int:
         """The first index whose running sum reaches a draw of 1 to the sum of all."""
-        import bisect
-
-        return bisect.bisect_left(cumulative, self.u64() % cumulative[-1] + 1)
+        return bisect_left(cumulative, self.draw() % cumulative[-1] + 1)
 
     def binomial(self, n: int, p: float) -> int:
-        return sum(self.chance(p) for _ in range(n))
+        under, draw = threshold(p), self.draw
+        return sum([draw() < under for _ in range(n)])
 
     def shuffle(self, items: list) -> None:
         for k in range(len(items) - 1, 0, -1):

@@ -1,14 +1,16 @@
-"""Seeded corpora: each simulation fills a layout of lines with words.
+"""Seeded corpora: a generator fills a layout of lines with words.
 
-A generator is sequential in its draws, so one simulation (point, seed) is one row of work for an
-Arrow function, and simulations are spread over the cluster. The layout and the trained models are
-bounded by their parameters and travel with the tasks.
+A generator is sequential in its draws, and the order of draws is part of its result. One corpus is
+one row of work for an Arrow function. A registered simulation fills every page of the documents
+corpus on its own, so its tasks are as large as a page and as many as there are pages.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
 
@@ -16,128 +18,280 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.random import Stream
+from corpusloom import storage
+from corpusloom.functions import textstats
+from corpusloom.functions.random import Stream, threshold
 from corpusloom.sources import corpus
 
-#: The letters of made-up words, most frequent first, and letters alike.
+#: The letters of made-up words, letters alike, and the parts put on or off.
 ALPHABET = "ocheydaiklrstqnmpfg"
-ALIKE = ("oay", "ei", "kt", "pf", "lr", "ds", "nm", "ch")
-AFFIXES_FIRST, AFFIXES_LAST = ("qo", "o", "d", "s"), ("y", "dy", "in", "l")
-EDGE = "."
+ALIKE = "oay|ei|kt|pf|lr|ds|nm|ch"
+PREFIXES = "qo,o,ch,sh,d,y"
+SUFFIXES = "y,dy,aiin,ain,al,ar,ol,or,am"
+EDGE = " "
+DECIMAL = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?")
+#: What fills a layout, a list of numbers of words, with lines of words.
+Generator = Callable[[Stream, list[int]], list[list[str]]]
+
+
+class BadParameter(ValueError):
+    """A generator's parameter is missing, malformed or out of its range."""
+
+
+def is_decimal(text: str) -> bool:
+    return DECIMAL.fullmatch(text) is not None
+
+
+class Parameters:
+    """A generator's parameters: numbers, decimal strings, strings or booleans by name."""
+
+    def __init__(self, given: dict | None):
+        self.given = given or {}
+
+    def number(self, name: str, default: float, low: float = -math.inf, high: float = math.inf) -> float:
+        x = self.given.get(name, default)
+        if isinstance(x, str) and is_decimal(x):
+            x = float(x)
+        if isinstance(x, (bool, str)) or not isinstance(x, (int, float)) or not math.isfinite(x):
+            raise BadParameter(f"{name} must be a finite number or a decimal string")
+        if not low <= x <= high:
+            raise BadParameter(f"{name} must be in [{low:g}, {high:g}]")
+        return float(x)
+
+    def chance(self, name: str, default: float) -> float:
+        return self.number(name, default, 0.0, 1.0)
+
+    def whole(self, name: str, default: int, low: int, high: int) -> int:
+        """A non-negative integer, moved into [low, high]."""
+        x = self.given.get(name, default)
+        if isinstance(x, str) and is_decimal(x) and not set(x) & set("-."):
+            x = int(x)
+        if isinstance(x, bool) or not isinstance(x, int) or not 0 <= x < 1 << 64:
+            raise BadParameter(f"{name} must be a non-negative integer or an integer string")
+        return min(max(x, low), high)
+
+    def text(self, name: str, default: str) -> str:
+        x = self.given.get(name, default)
+        if not isinstance(x, str):
+            raise BadParameter(f"{name} must be a string")
+        return x
+
+    def letters(self) -> str:
+        found = plain(self.text("alphabet", ALPHABET))
+        if not found:
+            raise BadParameter("alphabet must contain at least one glyph")
+        return found
+
+    def parts(self, name: str, default: str, apart: str) -> list[str]:
+        return [x for x in map(plain, self.text(name, default).split(apart)) if x]
+
+
+def plain(text: str) -> str:
+    return "".join(c for c in text if c.isascii() and c.isalnum())
 
 
 @cache
-def letters(exponent: float) -> list[int]:
-    """Running sums of the letters' weights, which fall with a power of the rank."""
-    return list(accumulate(max(1, int(1e6 / math.exp(exponent * math.log(k)))) for k in range(1, len(ALPHABET) + 1)))
-
-
-def made_up(rng: Stream, params: dict) -> str:
-    """A word of 1 + Binomial(n, p) letters."""
-    sums = letters(params.get("exponent", 1.0))
-    return "".join(ALPHABET[rng.weighted(sums)] for _ in range(1 + rng.binomial(min(30, params.get("len_n", 9)), params.get("len_p", 0.45))))
-
-
-def gibberish(rng: Stream, layout: list[int], params: dict, model) -> list[list[str]]:
-    return [[made_up(rng, params) for _ in range(n)] for n in layout]
-
-
-def bagofwords(rng: Stream, layout: list[int], params: dict, model) -> list[list[str]]:
-    words = model["bag"]
-    sums = list(accumulate(max(1, n) for _, n in words))
-    return [[words[rng.weighted(sums)][0] for _ in range(n)] for n in layout]
-
-
-def charmarkov(rng: Stream, layout: list[int], params: dict, model) -> list[list[str]]:
-    """Letters given the `order` before them; the context starts anew on each line."""
-    order, longest = model["order"], max(2, min(64, params.get("max_len", 20)))
-    out = []
-    for n in layout:
-        context, words, word = EDGE * order, [], ""
-        while len(words) < n:
-            seen = context
-            while seen not in model["glyphs"] and seen.strip(EDGE):
-                seen = EDGE + seen[1:] if len(seen) == order else EDGE * order
-                if seen not in model["glyphs"]:
-                    seen = EDGE * order
-            glyphs, sums = model["glyphs"][seen]
-            g = glyphs[rng.weighted(sums)]
-            if g == EDGE and not word:
-                context = EDGE * order
-                continue
-            if g == EDGE or len(word) >= longest:
-                words.append(word)
-                word, g = "", EDGE
-            else:
-                word += g
-            context = (context + g)[-order:]
-        out.append(words)
-    return out
-
-
-def edit(rng: Stream, word: str) -> str:
-    """One change: a letter replaced by one alike, put in or taken out, or an affix put on or off."""
-    kind = rng.weighted([4000, 5000, 7000, 8500])
-    if kind == 0:
-        k = rng.below(len(word))
-        group = next((a.replace(word[k], "") for a in ALIKE if word[k] in a), ALPHABET)
-        return word[:k] + group[rng.below(len(group))] + word[k + 1 :]
-    if kind == 1:
-        k = rng.below(len(word) + 1)
-        return word[:k] + ALPHABET[rng.weighted(letters(1.0))] + word[k:]
-    if kind == 2:
-        k = rng.below(len(word))
-        return word[:k] + word[k + 1 :]
-    if rng.below(2) == 0:
-        a = AFFIXES_FIRST[rng.below(len(AFFIXES_FIRST))]
-        return word[len(a) :] if word.startswith(a) and len(word) > len(a) else a + word
-    a = AFFIXES_LAST[rng.below(len(AFFIXES_LAST))]
-    return word[: -len(a)] if word.endswith(a) and len(word) > len(a) else word + a
-
-
-def selfcite(rng: Stream, layout: list[int], params: dict, model) -> list[list[str]]:
-    """Words copied from this line or the lines before, and changed: each depends on the last."""
-    window, shortest, longest = params.get("window_lines", 4), params.get("min_len", 1), params.get("max_len", 8)
-    out: list[list[str]] = []
-    for n in layout:
-        line: list[str] = []
-        for _ in range(n):
-            pool = [w for earlier in out[-window:] for w in earlier] if window else []
-            if rng.chance(params.get("p_new_word", 0.01)) or not (line or pool):
-                line.append(made_up(rng, params))
-                continue
-            own = line if line and (rng.chance(params.get("p_same_line", 0.3)) or not pool) else pool
-            word = own[rng.below(len(own))]
-            if rng.chance(params.get("p_modify", 0.85)):
-                for _ in range(1 + rng.below(params.get("max_edits", 2))):
-                    changed = edit(rng, word)
-                    word = changed if shortest <= len(changed) <= longest else word
-            line.append(word)
-        out.append(line)
-    return out
-
-
-def slotgram(rng: Stream, layout: list[int], params: dict, model) -> list[list[str]]:
-    """Words filled slot by slot from weighted choices; now and then the line's last word again."""
-    slots = params.get("slots") or [(0.4, [("q", 3), ("d", 2), ("s", 1)]), (0.7, [("o", 4), ("y", 1)]), (0.6, [("k", 2), ("t", 1), ("ch", 3), ("sh", 2)]), (0.6, [("e", 3), ("ee", 1)]), (0.8, [("dy", 3), ("in", 2), ("l", 2), ("r", 2)])]
-    sums = [list(accumulate(n for _, n in choices)) for _, choices in slots]
-    out = []
-    for n in layout:
-        line: list[str] = []
-        for _ in range(n):
-            if line and rng.chance(params.get("p_repeat", 0.05)):
-                line.append(line[-1])
-                continue
-            for _ in range(64):
-                word = "".join(choices[rng.weighted(s)][0] for (fill, choices), s in zip(slots, sums) if rng.chance(fill))
-                if len(word) >= params.get("min_len", 2):
-                    break
-            line.append(word or "o")
-        out.append(line)
-    return out
-
-
-FAMILIES = {"gibberish": gibberish, "bagofwords": bagofwords, "charmarkov": charmarkov, "selfcite": selfcite, "slotgram": slotgram}
+def falling(n: int, exponent: float) -> list[int]:
+    """Running sums of integer weights that fall with a power of the rank; equal ones for 0."""
+    weights = [1e6 if exponent == 0 else 1e6 / math.exp(exponent * math.log(k)) for k in range(1, n + 1)]
+    return list(accumulate(max(1, int(w)) for w in weights))
+
+
+def word_maker(p: Parameters) -> Callable[[Stream], str]:
+    """Words of 1 + Binomial(len_n, len_p) letters."""
+    glyphs, n, chance = p.letters(), p.whole("len_n", 9, 0, 30), p.chance("len_p", 0.45)
+    sums = falling(len(glyphs), p.number("zipf_s", 0.0, 0.0, 4.0))
+    under, total = threshold(chance), sums[-1]
+
+    def word(rng: Stream) -> str:
+        draw = rng.draw
+        length = 1 + sum([draw() < under for _ in range(n)])
+        return "".join([glyphs[bisect_left(sums, draw() % total + 1)] for _ in range(length)])
+
+    return word
+
+
+def gibberish(p: Parameters, resources: dict) -> Generator:
+    word = word_maker(p)
+    return lambda rng, layout: [[word(rng) for _ in range(n)] for n in layout]
+
+
+def bagofwords(p: Parameters, resources: dict) -> Generator:
+    """Words drawn on their own from a bag [(word, count)]."""
+    bag = resources.get("word_bag")
+    if bag is None:
+        raise BadParameter("word_bag is missing")
+    if not bag:
+        raise BadParameter("word_bag is empty")
+    sums = list(accumulate(max(1, n) for _, n in bag))
+    return lambda rng, layout: [[bag[rng.weighted(sums)][0] for _ in range(n)] for n in layout]
+
+
+def charmarkov(p: Parameters, resources: dict) -> Generator:
+    """Letters given the `order` before them, fewer where those were never seen; the context starts
+    anew on each line."""
+    model = resources.get("glyph_model")
+    if model is None:
+        raise BadParameter("glyph_model is missing")
+    order = p.whole("order", model["order"], 0, 6)
+    if order != model["order"]:
+        raise BadParameter("order does not match the glyph model's")
+    longest = p.whole("max_len", 20, 2, 64)
+    table = {c: ([g for g, _ in seen], list(accumulate(n for _, n in seen))) for c, seen in model["counts"].items() if sum(n for _, n in seen)}
+    if not table:
+        raise BadParameter("glyph model is empty")
+
+    def glyph(rng: Stream, context: str) -> str:
+        for known in range(order, -1, -1):
+            found = table.get(EDGE * (order - known) + context[order - known :])
+            if found:
+                return found[0][rng.weighted(found[1])]
+        return EDGE
+
+    def generate(rng: Stream, layout: list[int]) -> list[list[str]]:
+        out = []
+        for n in layout:
+            context, line = EDGE * order, []
+            while len(line) < n:
+                word = ""
+                while len(word) < longest:
+                    g = glyph(rng, context)
+                    if g == EDGE and not word:
+                        continue
+                    if g == EDGE:
+                        break
+                    word += g
+                    context = (context + g)[-order:]
+                context = (context + EDGE)[-order:]
+                line.append(word)
+            out.append(line)
+        return out
+
+    return generate
+
+
+def editor(p: Parameters) -> Callable[[Stream, str], str]:
+    """One change of a word: a letter replaced by one alike, put in or taken out, or a part put on or
+    off at an end."""
+    glyphs = p.letters()
+    weights = [p.number(name, w, 0.0, 1000.0) for name, w in (("w_substitute", 4.0), ("w_insert", 1.0), ("w_delete", 2.0), ("w_affix", 1.5))]
+    kinds = list(accumulate(int(w * 1000.0) for w in weights))
+    if not kinds[-1]:
+        raise BadParameter("at least one edit weight must be positive")
+    alike: dict[str, str] = {}
+    for group in p.parts("similar", ALIKE, "|"):
+        for g in group if len(group) > 1 else "":
+            alike.setdefault(g, group.replace(g, ""))
+    prefixes, suffixes = p.parts("prefixes", PREFIXES, ","), p.parts("suffixes", SUFFIXES, ",")
+    shortest = p.whole("min_len", 1, 1, 10)
+
+    def edit(rng: Stream, word: str) -> str:
+        kind = rng.weighted(kinds)
+        if kind == 0:
+            k = rng.below(len(word))
+            others = alike.get(word[k], glyphs)
+            return word[:k] + others[rng.below(len(others))] + word[k + 1 :]
+        if kind == 1:
+            k = rng.below(len(word) + 1)
+            return word[:k] + glyphs[rng.below(len(glyphs))] + word[k:]
+        if kind == 2:
+            if len(word) <= shortest:
+                return word
+            k = rng.below(len(word))
+            return word[:k] + word[k + 1 :]
+        front = rng.chance(0.5)
+        pool = prefixes if front else suffixes
+        if not pool:
+            return word
+        part = pool[rng.below(len(pool))]
+        if len(word) > len(part) and (word.startswith(part) if front else word.endswith(part)):
+            return word[len(part) :] if front else word[: -len(part)]
+        return part + word if front else word + part
+
+    return edit
+
+
+def selfcite(p: Parameters, resources: dict) -> Generator:
+    """Words copied from their line or the lines before, and changed: each depends on the last."""
+    word, edit = word_maker(p), editor(p)
+    window, most = p.whole("window_lines", 4, 0, 50), p.whole("max_edits", 2, 1, 6)
+    here, changes, new = (threshold(p.chance(name, x)) for name, x in (("p_current_line", 0.3), ("p_modify", 0.85), ("p_new_word", 0.01)))
+    shortest = p.whole("min_len", 1, 1, 10)
+    longest = p.whole("max_len", 8, shortest, 40)
+
+    def generate(rng: Stream, layout: list[int]) -> list[list[str]]:
+        out: list[list[str]] = []
+        draw, below = rng.draw, rng.below
+        for n in layout:
+            pool = [w for earlier in out[len(out) - min(window, len(out)) :] for w in earlier]
+            line: list[str] = []
+            for _ in range(n):
+                if draw() < new:
+                    line.append(word(rng))
+                    continue
+                own = line if line and draw() < here else pool or line
+                if not own:
+                    line.append(word(rng))
+                    continue
+                made = own[below(len(own))]
+                if draw() < changes:
+                    for _ in range(1 + below(most)):
+                        changed = edit(rng, made)
+                        if shortest <= len(changed) <= longest:
+                            made = changed
+                line.append(made)
+            out.append(line)
+        return out
+
+    return generate
+
+
+def slotgram(p: Parameters, resources: dict) -> Generator:
+    """Words filled slot by slot from a table; now and then the line's last word again."""
+    slots = textstats.slot_table(p.text("slots", textstats.SLOTS))
+    if slots is None or len(slots) > 32:
+        raise BadParameter("slots must be 1 to 32, each with a choice")
+    fill = [p.chance("p_fill", 0.35)] * len(slots)
+    if "p_fill_slots" in p.given:
+        try:
+            fill = [float(x) for x in p.text("p_fill_slots", "").split(",")]
+        except ValueError:
+            raise BadParameter("p_fill_slots must be comma-separated numbers") from None
+        if len(fill) != len(slots) or not all(0 <= x <= 1 for x in fill):
+            raise BadParameter(f"p_fill_slots needs {len(slots)} values in [0, 1]")
+    exponent = p.number("zipf_s", 0.0, 0.0, 4.0)
+    filled = [(threshold(chance), choices, (sums := falling(len(choices), exponent)), sums[-1]) for chance, choices in zip(fill, slots)]
+    shortest, again = p.whole("min_len", 1, 1, 8), p.chance("p_repeat", 0.0)
+
+    def word(rng: Stream) -> str:
+        draw = rng.draw
+        for _ in range(64):
+            made = "".join([choices[bisect_left(sums, draw() % total + 1)] for under, choices, sums, total in filled if draw() < under])
+            if len(made) >= shortest:
+                return made
+        return slots[0][0]
+
+    def generate(rng: Stream, layout: list[int]) -> list[list[str]]:
+        out = []
+        for n in layout:
+            line: list[str] = []
+            for _ in range(n):
+                line.append(line[-1] if line and rng.chance(again) else word(rng))
+            out.append(line)
+        return out
+
+    return generate
+
+
+#: The registry of families. Another one is registered by adding it here.
+FAMILIES: dict[str, Callable[[Parameters, dict], Generator]] = {"gibberish": gibberish, "bagofwords": bagofwords, "charmarkov": charmarkov, "selfcite": selfcite, "slotgram": slotgram}
+
+
+def build(family: str, params: dict | None = None, resources: dict | None = None) -> Generator:
+    """A family's generator, its parameters checked."""
+    if family not in FAMILIES:
+        raise BadParameter(f"unknown generator family: {family}")
+    return FAMILIES[family](Parameters(params), resources or {})
 
 
 def word_bag(tokens: DataFrame) -> DataFrame:
@@ -155,80 +309,104 @@ def word_bag(tokens: DataFrame) -> DataFrame:
     return inside.join(sums, ["n", "head"]).select("w", "n", (F.col("ahead") + F.col("inside")).alias("before"), "total")
 
 
-def drawn_from_bag(spark: SparkSession, layout: list[int], seeds: int, bag: DataFrame, salt: str = "") -> DataFrame:
-    """bagofwords() over a table, as (seed, line_no, words): the same draws, found by a range join.
-
-    Running sums are cut into blocks of a width that makes about five rows a word of the bag, so a
-    draw is compared with few words.
-    """
-    types, total = bag.agg(F.count("*"), F.max("total")).first()
-    key = f"bagofwords:{salt}".encode()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for seed in batch.column(0).to_pylist():
-                rng = Stream(key, seed)
-                lines = [[rng.u64() % total for _ in range(n)] for n in layout]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seed] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.list_(pa.int64()))], ["seed", "line_no", "draws"]
-                )
-
-    width = max(1, (total or 0) // (4 * max(types, 1)))
-    draws = spark.range(seeds).mapInArrow(rows, "seed bigint, line_no int, draws array<bigint>")
-    draws = draws.select("seed", "line_no", F.posexplode_outer("draws").alias("i", "draw")).withColumn("block", F.expr(f"draw div {width}"))
-    words = bag.select("w", "n", "before", F.explode(F.sequence(F.expr(f"before div {width}"), F.expr(f"(before + n - 1) div {width}"))).alias("block"))
-    found = draws.join(words, (draws["block"] == words["block"]) & (F.col("draw") >= F.col("before")) & (F.col("draw") < F.col("before") + F.col("n")), "left")
-    line = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("i", "w"))))
-    return found.groupBy("seed", "line_no").agg(F.transform(line, lambda x: x["w"]).alias("words"))
-
-
 def glyph_model(lines: DataFrame, order: int = 3) -> DataFrame:
-    """(context, glyph, n): letters given the `order` before them, words apart by an edge."""
+    """(context, glyph, n): letters given the `order` before them, an edge behind each word and
+    edges before a line."""
     text = F.concat(F.lit(EDGE * order), F.array_join("words", EDGE), F.lit(EDGE))
     at = F.explode(F.sequence(F.lit(1), F.length("x") - order))
-    return lines.select(text.alias("x")).select("x", at.alias("k")).select(F.expr(f"substr(x, k, {order})").alias("context"), F.expr(f"substr(x, k + {order}, 1)").alias("glyph")).groupBy("context", "glyph").agg(F.count("*").alias("n"))
+    return lines.where(F.size("words") > 0).select(text.alias("x")).select("x", at.alias("k")).select(F.expr(f"substr(x, k, {order})").alias("context"), F.expr(f"substr(x, k + {order}, 1)").alias("glyph")).groupBy("context", "glyph").agg(F.count("*").alias("n"))
 
 
 def glyph_table(model: DataFrame, order: int) -> dict:
-    """The model as a lookup for one task: bounded by the alphabet to the power of order + 1."""
+    """The model as a resource for one task: bounded by the alphabet to the power of order + 1."""
     table: dict = {}
     for r in model.orderBy("context", "glyph").collect():
         table.setdefault(r["context"], []).append((r["glyph"], r["n"]))
-    return {"order": order, "glyphs": {c: ([g for g, _ in gs], list(accumulate(n for _, n in gs))) for c, gs in table.items()}}
+    return {"order": order, "counts": table}
+
+
+def layouts(lines: DataFrame) -> DataFrame:
+    """(page_no, layout): the number of words of each of a page's lines, empty ones left out."""
+    counted = lines.where(F.size("words") > 0).groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", F.size("words").alias("n")))).alias("x"))
+    return counted.select("page_no", F.transform("x", lambda x: x["n"]).alias("layout"))
+
+
+def uniform(lines: int, words: int, lines_each: int) -> list[tuple[int, bool, bool]]:
+    """A regular layout: (words, starts a paragraph, ends one) of each line."""
+    each = max(1, lines_each)
+    return [(words, k % each == 0, k % each == each - 1 or k + 1 == lines) for k in range(lines)]
+
 
+def truncated(layout: list[tuple[int, bool, bool]], most: int) -> list[tuple[int, bool, bool]]:
+    """The longest run of first lines with at most `most` words; its last line ends a paragraph."""
+    upto = accumulate(n for n, _, _ in layout)
+    kept = [x for x, total in zip(layout, upto) if total <= most]
+    return kept[:-1] + [(*kept[-1][:2], True)] if kept else []
 
-def simulate(spark: SparkSession, family: str, layout: list[int], seeds: int, params: dict | None = None, model: dict | None = None, salt: str = "") -> DataFrame:
-    """`seeds` corpora as (seed, line_no, words)."""
-    params, make = params or {}, FAMILIES[family]
-    salt = f"{family}:{salt}"
+
+def simulate(pages: DataFrame, family: str, seeds: int, params: dict | None = None, resources: dict | None = None, salt: str = "") -> DataFrame:
+    """`pages` (page_no, layout) filled `seeds` times, as (page_no, seed, line_no, words): each page
+    is a corpus of its own, and its salt ends in its number."""
+    build(family, params, resources)  # before any task runs
+    table = pages.sparkSession.sparkContext.broadcast(resources or {})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = build(family, params, table.value)
         for batch in batches:
-            for seed in batch.column(0).to_pylist():
-                lines = make(Stream(salt.encode(), seed), layout, params, model)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seed] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.list_(pa.string()))], ["seed", "line_no", "words"]
-                )
+            for page, layout in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for seed in range(seeds):
+                    lines = make(Stream(f"{salt}{family}/{page}".encode(), seed), layout)
+                    n = len(lines)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([page] * n, pa.int64()), pa.array([seed] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lines, pa.list_(pa.string()))],
+                        ["page_no", "seed", "line_no", "words"],
+                    )
+
+    return pages.select("page_no", "layout").mapInArrow(rows, "page_no bigint, seed bigint, line_no int, words array<string>")
+
 
-    return spark.range(seeds).mapInArrow(rows, "seed bigint, line_no int, words array<string>")
+def drawn_pages(pages: DataFrame, seeds: int, bag: DataFrame, salt: str = "") -> DataFrame:
+    """simulate() of bagofwords over a bag of any size: the same draws, found in its table by a range
+    join.
 
+    Running sums are cut into blocks of a width that makes about five rows a word of the bag, so a
+    draw is compared with few words.
+    """
+    types, total = bag.agg(F.count("*"), F.coalesce(F.max("total"), F.lit(0))).first()
 
-def layout_of(spark: SparkSession, sf_dir: str, lines: int = 60) -> list[int]:
-    """The first lines' word counts: the layout that a registered simulation fills."""
-    return [r["n_words"] for r in corpus.lines(spark, sf_dir).select("page_no", "line_no", "n_words").orderBy("page_no", "line_no").limit(lines).collect()]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, layout in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for seed in range(seeds):
+                    rng = Stream(f"{salt}bagofwords/{page}".encode(), seed)
+                    lines = [[rng.u64() % total for _ in range(n)] for n in layout]
+                    n = len(lines)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([page] * n, pa.int64()), pa.array([seed] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lines, pa.list_(pa.int64()))],
+                        ["page_no", "seed", "line_no", "draws"],
+                    )
+
+    width = max(1, total // (4 * max(types, 1)))
+    draws = pages.select("page_no", "layout").mapInArrow(rows, "page_no bigint, seed bigint, line_no int, draws array<bigint>")
+    line = ["page_no", "seed", "line_no"]
+    draws = draws.select(*line, F.posexplode_outer("draws").alias("i", "draw")).withColumn("block", F.expr(f"draw div {width}"))
+    words = bag.select("w", "n", "before", F.explode(F.sequence(F.expr(f"before div {width}"), F.expr(f"(before + n - 1) div {width}"))).alias("block"))
+    found = draws.join(words, (draws["block"] == words["block"]) & (F.col("draw") >= F.col("before")) & (F.col("draw") < F.col("before") + F.col("n")), "left")
+    drawn = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("i", "w"))))
+    return found.groupBy(*line).agg(F.transform(drawn, lambda x: x["w"]).alias("words"))
 
 
 def registered(family: str):
-    """The query: eight seeds of a family over the corpus's first lines."""
+    """The query: two seeds of a family over every page of the corpus."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model, layout = None, layout_of(spark, sf_dir)
-        if family == "charmarkov":
-            model = glyph_table(glyph_model(corpus.lines(spark, sf_dir)), 3)
+        lines = corpus.lines(spark, sf_dir)
+        pages = layouts(lines)
         if family == "bagofwords":
-            made = drawn_from_bag(spark, layout, 8, word_bag(corpus.tokens(spark, sf_dir)))
+            made = drawn_pages(pages, 2, storage.cut(word_bag(corpus.tokens(spark, sf_dir))))
         else:
-            made = simulate(spark, family, layout, 8, model=model)
-        return made.select("seed", "line_no", F.array_join("words", ".").alias("line"))
+            resources = {"glyph_model": glyph_table(glyph_model(lines), 3)} if family == "charmarkov" else None
+            made = simulate(pages, family, 2, resources=resources)
+        return made.select("page_no", "seed", "line_no", F.array_join("words", ".").alias("line"))
 
     return run

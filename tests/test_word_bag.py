@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-from corpusloom.functions.random import Stream
 from corpusloom.operators import generators
 
 
@@ -13,10 +12,10 @@ def test_every_word_is_in_the_bag(spark):
     expected = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
     rows = bag.orderBy("before").collect()
     assert [(r["w"], r["n"]) for r in rows] == expected
-    layout = [300, 0, 900]
-    got = {(r["seed"], r["line_no"]): r["words"] for r in generators.drawn_from_bag(spark, layout, 2, bag).collect()}
-    for seed in range(2):
-        lines = generators.bagofwords(Stream(b"bagofwords:", seed), layout, {}, {"bag": expected})
-        assert [got[seed, k] for k in range(3)] == lines
+    layouts = {3: [300, 0, 900], 8: [50]}
+    pages = spark.createDataFrame(list(layouts.items()), "page_no bigint, layout array<int>")
+    got = {(r["page_no"], r["seed"], r["line_no"]): r["words"] for r in generators.drawn_pages(pages, 2, bag).collect()}
+    plain = {(r["page_no"], r["seed"], r["line_no"]): r["words"] for r in generators.simulate(pages, "bagofwords", 2, resources={"word_bag": expected}).collect()}
+    assert got == plain
     drawn = {w for line in got.values() for w in line}
     assert drawn - {w for w, _ in expected[:2000]} and sum(Counter(words).values()) == rows[0]["total"]
