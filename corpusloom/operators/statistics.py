@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom import storage
 from corpusloom.sources import corpus
 
 STRETCH = 4096
@@ -55,18 +56,44 @@ def _pairs(tokens: DataFrame, group: str, padded: bool, name: str) -> DataFrame:
     return both.select(group, (F.col("_both") - F.col("_first")).alias(name))
 
 
-def _edit1(words: Column, k: Column) -> Column:
-    """Whether a word of a line has another within one edit, at another place of the line."""
-    own = F.element_at(words, k + 1)
-    near = lambda v, j: (j != k) & (F.abs(F.length(v) - F.length(own)) <= 1) & (F.levenshtein(v, own) <= 1)
-    return F.size(F.filter(words, near)) > 0
+def near_words(lines: DataFrame) -> DataFrame:
+    """`lines` (words, ...) with `near`: how many of a line's words have another word of the line
+    within one edit, at another place.
+
+    Two words are one substitution apart if they agree in all but one place: in a key made of the
+    place and what stands before and behind it. One is the other less a letter if it equals what
+    the other leaves without one. So a line's keys are compared, not its pairs of words.
+    """
+    ks = lambda w: F.sequence(F.lit(1), F.length(w))
+    # Keys of distinct words; in a word of its own, what stands around two places never agrees twice.
+    changed = lambda w: F.transform(ks(w), lambda k: F.xxhash64(k, F.left(w, k - 1), F.substr(w, k + 1)))
+    shorter = lambda w: F.array_distinct(F.transform(ks(w), lambda k: F.xxhash64(F.concat(F.left(w, k - 1), F.substr(w, k + 1)))))
+    keyed = lambda w: F.struct(w.alias("w"), F.xxhash64(w).alias("own"), changed(w).alias("changed"), shorter(w).alias("shorter"))
+    twice = lambda xs: F.filter(F.zip_with(xs, F.slice(xs, F.lit(2), F.size(xs)), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+    every = lambda field: F.flatten(F.transform("_keys", lambda x: x[field]))
+    lines = lines.withColumn("_keys", F.transform(F.array_distinct("words"), keyed)).withColumn("_sorted", F.array_sort("words"))
+    lines = lines.withColumn("_changed", F.array_sort(every("changed")))
+    lines = lines.withColumn("_alike", F.array_distinct(twice(F.col("_changed"))))
+    lines = lines.withColumn("_less", F.array_intersect(F.transform("_keys", lambda x: x["own"]), every("shorter")))
+    hit = lambda x: F.arrays_overlap(x["changed"], "_alike") | F.array_contains("_less", x["own"]) | F.arrays_overlap(x["shorter"], "_less")
+    found = F.transform(F.filter("_keys", hit), lambda x: x["w"])
+    lines = lines.withColumn("_hits", F.array_union(found, twice(F.col("_sorted"))))
+    near = F.size(F.filter("words", lambda w: F.array_contains("_hits", w)))
+    return lines.withColumn("near", near).drop("_keys", "_sorted", "_changed", "_alike", "_less", "_hits")
 
 
 def fingerprint(spark: SparkSession, sf_dir: str, group: str = "stratum") -> DataFrame:
-    """One row for each group of the corpus: the 30 values. A corpus without words has no row."""
-    lines = positions(corpus.lines(spark, sf_dir), group)
-    stream = lines.select(group, F.posexplode("words").alias("i", "w"), "at").select(group, (F.col("at") + F.col("i")).alias("pos"), "w")
-    types = stream.groupBy(group, "w").agg(F.count("*").alias("n"))
+    """One row for each group of the corpus's pages: the 30 values, zeros for one without words."""
+    pages = corpus.pages(spark, sf_dir).select(group).distinct()
+    return values(corpus.lines(spark, sf_dir), group, pages)
+
+
+def values(corpus_lines: DataFrame, group: str, groups: DataFrame) -> DataFrame:
+    """The 30 values of each group of `groups`, from lines (group, page_no, line_no, words, n_words,
+    para_start): a group's stream is its pages in order."""
+    lines = positions(corpus_lines, group)
+    stream = storage.cut(lines.select(group, F.posexplode("words").alias("i", "w"), "at").select(group, (F.col("at") + F.col("i")).alias("pos"), "w"))
+    types = storage.cut(stream.groupBy(group, "w").agg(F.count("*").alias("n")))
 
     glyphs = types.select(group, "n", F.explode(F.split("w", "")).alias("g")).groupBy(group, "g").agg(F.sum("n").alias("n"))
     spaces = types.groupBy(group).agg(F.sum("n").alias("n"))
@@ -115,16 +142,15 @@ def fingerprint(spark: SparkSession, sf_dir: str, group: str = "stratum") -> Dat
             (F.sum(F.when(F.levenshtein("w", "left") == 1, 1).otherwise(0)) / pairs).alias("adjacent_edit1"),
         )
     )
-    near = F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: _edit1(F.col("words"), k)))
     first, last = F.length(F.element_at("words", 1)), F.length(F.element_at("words", -1))
     parts.append(
-        lines.groupBy(group).agg(
-            (F.sum(near) / F.sum("n_words")).alias("line_edit1"), F.avg(first).alias("_first"), F.avg(last).alias("_last"),
+        near_words(corpus_lines.select(group, "words", "n_words", "para_start")).groupBy(group).agg(
+            (F.sum("near") / F.sum("n_words")).alias("line_edit1"), F.avg(first).alias("_first"), F.avg(last).alias("_last"),
             F.avg(F.when(F.col("para_start"), first)).alias("_para"), (F.sum("n_words") / F.count("*")).alias("line_len_mean"),
         )
     )
-    joined = parts[0]
-    for part in parts[1:]:
+    joined = groups
+    for part in parts:
         joined = joined.join(part, group, "left")
     joined = joined.withColumn("line_first_len_delta", F.col("_first") - F.col("wlen_mean")).withColumn("line_last_len_delta", F.col("_last") - F.col("wlen_mean"))
     joined = joined.withColumn("para_first_len_delta", F.coalesce(F.col("_para") - F.col("wlen_mean"), F.lit(0.0)))

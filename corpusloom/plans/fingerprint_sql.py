@@ -37,4 +37,4 @@ def sql(relations: str, names: tuple[str, ...]) -> str:
     al AS (SELECT *, f - wlen_mean AS line_first_len_delta, e - wlen_mean AS line_last_len_delta, p - wlen_mean AS para_first_len_delta
       FROM h0 JOIN h1 USING (stratum) JOIN h2 USING (stratum) LEFT JOIN h2_word USING (stratum) JOIN h_initial USING (stratum) JOIN h_final USING (stratum) JOIN wl USING (stratum) JOIN hx USING (stratum)
       JOIN zf USING (stratum) JOIN st USING (stratum) JOIN ed USING (stratum) JOIN ln_ USING (stratum))
-    SELECT stratum, {columns} FROM al"""
+    SELECT stratum, {columns} FROM (SELECT DISTINCT coalesce(lang, '') AS stratum FROM documents) LEFT JOIN al USING (stratum)"""

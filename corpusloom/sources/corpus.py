@@ -18,10 +18,15 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z]+"), lambda w: w != "")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_no, quire, stratum of every page; a page without a language is of the stratum ''."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.col("source").alias("quire"), F.coalesce("lang", F.lit("")).alias("stratum"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_no, quire, stratum, line_no, words, n_words, para_start, para_end."""
     found = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_words), lambda ws: F.size(ws) > 0)
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.col("source").alias("quire"), F.col("lang").alias("stratum"), found.alias("_lines"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.col("source").alias("quire"), F.coalesce("lang", F.lit("")).alias("stratum"), found.alias("_lines"))
     return pages.select("page_no", "quire", "stratum", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_no", "words")).select(
         "page_no", "quire", "stratum", "line_no", "words", F.size("words").alias("n_words"),
         (F.col("line_no") == 0).alias("para_start"), (F.col("line_no") == F.col("_n") - 1).alias("para_end"),
@@ -35,7 +40,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same relations in DuckDB.
 SQL = """
-_l AS (SELECT doc_id AS page_no, source AS quire, lang AS stratum,
+_l AS (SELECT doc_id AS page_no, source AS quire, coalesce(lang, '') AS stratum,
          list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
            lambda x: list_filter(regexp_split_to_array(lower(x), '[^a-z]+'), lambda w: w <> '')), lambda z: len(z) > 0) AS ls FROM documents),
 _i AS (SELECT *, unnest(range(len(ls))) AS line_no FROM _l),
