@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.storage import cut, dropped, scope, written  # noqa: F401  used by the operators
+
 #: Splits a text into words: space and the ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -16,26 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder and read from there.
+def buckets(rows: int, each: int = 20_000) -> int:
+    """How many buckets of about `each` rows: for running()."""
+    return max(1, -(-rows // each))
+
+
+#: A key with over this share of a side's rows is hot; so there are fewer than 4096 hot keys.
+HOT_SHARE = 1 / 4096
+SALTS = 64
+
+
+def joined_spread(left: DataFrame, right: DataFrame, on: str, rows: str, deal: Column, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, which has a row for each value of `on` and in `rows` (dropped) how
+    many rows it has on the left. Keys with over HOT_SHARE of all are dealt over SALTS tasks.
 
-    The folder is `spark.checkpoint.dir`; only a session without one (a local test) gets a
-    temporary folder.
+    The hot keys are fewer than 1 / HOT_SHARE, so they are broadcast. `right` is read three times.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusloom-"))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = F.col(rows) > max(1000, int(total * HOT_SHARE))
+    marked = right.where(hot).select(F.col(on).alias("_hot_key"))
+    left = left.join(F.broadcast(marked), left[on].eqNullSafe(F.col("_hot_key")), "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot_key").isNotNull(), F.pmod(deal, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot_key")
+    right = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(rows)
+    return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
 def words(text: Column) -> Column:

@@ -5,16 +5,19 @@
 2. No string of a key found in one run of the whole corpus only starts outside that run. Runs of
    keys found more often become segments, the bytes that their strings cover; so do runs that hold
    the short string of their key twice, as periodic texts do.
-3. Segments equal byte for byte are one, with a count. Those of one key go to one shard, so all the
-   places of a string meet; each shard's suffix array and permuted common prefixes tell which of
-   its strings start elsewhere. See suffixes.py.
+3. Segments equal byte for byte are one, with a count. Keys are packed into shards by the bytes of
+   their segments, so all the places of a string meet in one shard of at most twice `SHARD_BYTES`.
+   A task takes its shards one after the other; each one's suffix array and permuted common prefixes
+   tell which of its strings start elsewhere. See suffixes.py.
 4. The strings found are joined back to the places of their segments; each text loses the bytes
    that they cover.
 
-Keys with over `hot` distinct segments (the edges of a passage that very many texts share, or a
-large group of near copies) would make a shard of any size. Their segments are cut again by longer
-keys, which makes most of them equal, and the strings of what still differs are counted by
-content, and so spread over all tasks. Nothing is dropped or capped.
+A key whose segments alone are more than a shard (the edge of a passage that very many texts share,
+or a large group of near copies) is split by a longer key: its segments are cut again by the least
+hash of the next length in `GRAMS`, which makes most of them equal or single, and go through the same
+steps. The last length is that of the strings themselves, where a key has one segment and its count
+is the answer. Nothing is dropped or capped. Segments longer than any run without repeats inside
+(periodic texts) go to the last length at once.
 
 Texts equal to another text lose every byte that such a string covers, and are taken once in all
 of this. Texts are moved by content, never by doc_id.
@@ -37,9 +40,11 @@ from pyspark.sql import functions as F
 from . import common, suffixes
 
 LENGTH = 200
-GRAM = 64
-HOT = 400
-SHARD_BYTES = 2 << 20
+#: Lengths of the short strings that key the others: at first, and for keys too large for a shard.
+GRAMS = (64, 150, 185)
+SHARD_BYTES = 1 << 20
+#: Texts are hashed so many bytes at a time.
+STEP = 1 << 18
 #: An odd base and its inverse for hashes modulo 2^64, and an odd mixer.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -60,7 +65,7 @@ class Powers:
             cls.up, cls.down = (np.concatenate([x, x * np.uint64(pow(b, m, 1 << 64))]) for x, b in ((cls.up, BASE), (cls.down, INVERSE)))
 
 
-def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def runs(text: bytes, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """The runs of strings of one key: keys, first starts, numbers of strings, and whether what has
     the key's hash lies in the run twice, without which no two of its strings are equal."""
     n = len(text) - length + 1
@@ -93,18 +98,29 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return keys.view(np.int64), starts, ends - starts + 1, twice
 
 
+def stepwise(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """runs() of a text of any length, STEP strings at a time: a run may be cut in two."""
+    if len(text) < STEP + length:
+        return runs(text, length, gram)
+    found = []
+    for base in range(0, len(text) - length + 1, STEP):
+        keys, starts, n, twice = runs(text[base : base + STEP + length - 1], length, gram)
+        found.append((keys, starts + base, n, twice))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def content(text: Column) -> Column:
-    """A text's content as a long: 64 bits of its SHA-256."""
+    """A text's content as a long: 60 bits of its SHA-256."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def _keyed(texts: DataFrame, length: int) -> DataFrame:
+def _keyed(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """`texts` (content, text) as (key, content, start, n, twice), one for each run."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in common.slices(batch, 1):
-                found = [runs(t.encode(), length) for t in some.column(1).to_pylist()]
+                found = [stepwise(t.encode(), length, gram) for t in some.column(1).to_pylist()]
                 each = np.repeat(some.column(0).to_numpy(), [len(f[0]) for f in found])
                 key, start, n, twice = (np.concatenate([f[k] for f in found]) for k in range(4))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, each, start, n, twice)], ["key", "content", "start", "n", "twice"])
@@ -112,46 +128,101 @@ def _keyed(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(rows, "key bigint, content bigint, start bigint, n bigint, twice boolean")
 
 
+NAMES = ["key", "to", "start", "n", "twice", "bytes", "segment"]
+
+
 def _segments(chosen: DataFrame, length: int) -> DataFrame:
-    """`chosen` (content, text, runs) as (key, content, start, twice, bytes, segment), `segment`
-    naming the bytes."""
+    """`chosen` (content, text, runs) as (key, to, start, n, twice, bytes, segment), `segment`
+    naming the bytes, `to` the text that they are in."""
     import xxhash
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in common.slices(batch, 1, 1 << 19):
-                out: list[list] = [[] for _ in range(6)]
-                for content_, text, found in zip(*(c.to_pylist() for c in some.columns)):
-                    text = text.encode()
-                    for run in found:
-                        part = text[run["start"] : run["start"] + run["n"] + length - 1]
-                        for column, x in zip(out, (run["key"], content_, run["start"], run["twice"], part, xxhash.xxh3_128_digest(part))):
-                            column.append(x)
-                kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "content", "start", "twice", "bytes", "segment"])
+                texts = [t.encode() for t in some.column(1).to_pylist()]
+                lists = some.column(2)
+                key, start, n, twice = lists.flatten().flatten()
+                owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                ends = start.to_numpy() + n.to_numpy() + length - 1
+                parts = [texts[o][a:b] for o, a, b in zip(owner.tolist(), start.to_pylist(), ends.tolist())]
+                named = [pa.array(parts, pa.binary()), pa.array(map(xxhash.xxh3_128_digest, parts), pa.binary())]
+                yield pa.RecordBatch.from_arrays([key, some.column(0).take(pa.array(owner)), start, n, twice, *named], NAMES)
 
-    return chosen.mapInArrow(rows, "key bigint, content bigint, start bigint, twice boolean, bytes binary, segment binary")
+    return chosen.mapInArrow(rows, "key bigint, to bigint, start bigint, n bigint, twice boolean, bytes binary, segment binary")
 
 
-def _in_shards(segments: DataFrame, shards: int, length: int) -> DataFrame:
-    """`segments` (key, segment, bytes) as (segment, found): the stretches (first, last) of string
-    starts in the segment that start elsewhere among the segments too."""
+def _cut_again(segments: DataFrame, length: int, gram: int) -> DataFrame:
+    """`segments` (segment, bytes) cut by a longer key, as _segments() has them; `to` is the segment
+    that they are in."""
+    import xxhash
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts = [], []
         for batch in batches:
-            names += batch.column(0).to_pylist()
-            parts += batch.column(1).to_pylist()
-        if not names:
-            return
-        line = np.frombuffer(BETWEEN.join(parts), np.uint8)
-        hit = suffixes.repeated(line, length)
-        begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])[:-1]])
+            for some in common.slices(batch, 1, 1 << 19):
+                whole = some.column(1).to_pylist()
+                found = [stepwise(part, length, gram) for part in whole]
+                owner = np.repeat(np.arange(len(whole)), [len(f[0]) for f in found])
+                key, start, n, twice = (np.concatenate([f[k] for f in found]) for k in range(4))
+                parts = [whole[o][a:b] for o, a, b in zip(owner.tolist(), start.tolist(), (start + n + length - 1).tolist())]
+                named = [pa.array(parts, pa.binary()), pa.array(map(xxhash.xxh3_128_digest, parts), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(key), some.column(0).take(pa.array(owner)), *map(pa.array, (start, n, twice)), *named], NAMES)
+
+    return segments.select("segment", "bytes").mapInArrow(rows, "key bigint, to binary, start bigint, n bigint, twice boolean, bytes binary, segment binary")
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _whole(segments: DataFrame, length: int) -> DataFrame:
+    """`segments` (segment, bytes) as (segment, found), by keys as long as the strings: such a key
+    has one string, and its count is the answer."""
+    import xxhash
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                places: dict[bytes, list[dict]] = {}
+                for k in range(len(part) - length + 1):
+                    mine = places.setdefault(xxhash.xxh3_128_digest(part[k : k + length]), [])
+                    if mine and mine[-1]["last"] == k - 1:
+                        mine[-1]["last"] = k
+                    else:
+                        mine.append({"first": k, "last": k})
+                out[0] += places
+                out[1] += [sum(x["last"] - x["first"] + 1 for x in mine) for mine in places.values()]
+                out[2] += [name] * len(places)
+                out[3] += places.values()
+                if len(out[0]) > 1 << 15:
+                    yield batch_of(out)
+                    out = [[], [], [], []]
+            yield batch_of(out)
+
+    def batch_of(out: list[list]) -> pa.RecordBatch:
+        high, low = np.frombuffer(b"".join(out[0]), "<i8").reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], SPANS)], ["high", "low", "times", "segment", "found"])
+
+    strings = segments.select("segment", "bytes").mapInArrow(rows, "high bigint, low bigint, times bigint, segment binary, found array<struct<first: bigint, last: bigint>>")
+    strings = common.written(strings)
+    again = strings.groupBy("high", "low").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 1")
+    again = common.cut(again.select(F.xxhash64("high", "low").alias("_string"), "high", "low", "_rows"))
+    hits = common.joined_spread(strings.withColumn("_string", F.xxhash64("high", "low")), again.withColumnsRenamed({"high": "_high", "low": "_low"}), "_string", "_rows", F.xxhash64("segment"))
+    hits = hits.where("high = _high AND low = _low")
+    return hits.groupBy("segment").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
+def _in_shards(segments: DataFrame, total: int, length: int) -> DataFrame:
+    """`segments` (shard, segment, bytes) as (segment, found): the stretches (first, last) of string
+    starts in the segment that start elsewhere among the segments of its shard too."""
+
+    def answer(names: list[bytes], parts: list[bytes]) -> pa.RecordBatch:
+        hit = suffixes.repeated(np.frombuffer(BETWEEN.join(parts), np.uint8), length)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        begins = np.cumsum(sizes + 1) - sizes - 1
         first, last = _stretches(hit)
         # A string with a separator in it may be found too, if two shards' neighbours agree on it.
         owner = np.searchsorted(begins, first, "right") - 1
         found: dict[int, list] = {}
-        sizes = np.array([len(p) for p in parts])
         for k, a, b in zip(owner.tolist(), first.tolist(), last.tolist()):
             while a <= b:  # a stretch may go on into the next segments
                 stop = int(begins[k] + sizes[k] - length)
@@ -159,14 +230,25 @@ def _in_shards(segments: DataFrame, shards: int, length: int) -> DataFrame:
                     found.setdefault(k, []).append({"first": a - int(begins[k]), "last": min(b, stop) - int(begins[k])})
                 k += 1
                 a = int(begins[k]) if k < len(begins) else b + 1
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in found], pa.binary()), pa.array(list(found.values()), kind)], ["segment", "found"])
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in found], pa.binary()), pa.array(list(found.values()), SPANS)], ["segment", "found"])
 
-    return (
-        segments.repartition(shards, F.pmod(F.xxhash64("key"), F.lit(shards)))
-        .select("segment", "bytes")
-        .mapInArrow(rows, "segment binary, found array<struct<first: bigint, last: bigint>>")
-    )
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, names, parts = None, [], []
+        for batch in batches:
+            for at, name, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if at != shard and names:
+                    yield answer(names, parts)
+                    names, parts = [], []
+                shard = at
+                names.append(name)
+                parts.append(part)
+        if names:
+            yield answer(names, parts)
+
+    cores = segments.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(-(-total // SHARD_BYTES), max(4 * cores, -(-total // (256 << 20)))))
+    dealt = segments.repartition(tasks, "shard").sortWithinPartitions("shard").select("shard", "segment", "bytes")
+    return dealt.mapInArrow(rows, "segment binary, found array<struct<first: bigint, last: bigint>>")
 
 
 def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,86 +257,67 @@ def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - 1
 
 
-def _finely(segments: DataFrame, length: int) -> DataFrame:
-    """`segments` (segment, bytes) cut again into runs, by strings nearly as long as the ones looked
-    for: (key, twice, bytes, segment) of each run, and the segment it is `of`, at `start`."""
-    import xxhash
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in common.slices(batch, 1, 1 << 19):
-                out: list[list] = [[] for _ in range(6)]
-                for name, part in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    for key, start, n, twice in zip(*(x.tolist() for x in runs(part, length, length - length // 10))):
-                        run = part[start : start + n + length - 1]
-                        for column, x in zip(out, (key, twice, run, xxhash.xxh3_128_digest(run), name, start)):
-                            column.append(x)
-                kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "twice", "bytes", "segment", "of", "start"])
-
-    return segments.select("segment", "bytes").mapInArrow(rows, "key bigint, twice boolean, bytes binary, segment binary, of binary, start bigint")
-
-
-def _in_strings(segments: DataFrame, length: int) -> DataFrame:
-    """The same as _in_shards for segments of keys of any size: each string is counted by content."""
-    import xxhash
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(part) - length + 1
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(part[k : k + length]) for k in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([name] * n, pa.binary()), pa.array(np.arange(n))], ["h", "h2", "segment", "at"])
-
-    strings = segments.select("segment", "bytes").mapInArrow(rows, "h bigint, h2 bigint, segment binary, at bigint")
-    place = F.xxhash64("segment", "at")
-    again = common.cut(strings.groupBy("h", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h", "h2"))
-    hits = strings.join(again, ["h", "h2"]).groupBy("segment").agg(F.collect_list("at").alias("at"))
-    return hits.select("segment", F.transform("at", lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("found"))
-
-
-def _answers(pieces: DataFrame, length: int, hot: int | None) -> DataFrame:
-    """`pieces` (key, twice, bytes, segment), one for each place, as (segment, found): the stretches
-    of strings that start elsewhere; written out. `hot`: None for pieces of hot segments."""
-    distinct = pieces.groupBy("segment").agg(F.first("key").alias("key"), F.first("bytes").alias("bytes"), F.max("twice").alias("twice"), F.count("*").alias("times"))
+def _answers(pieces: DataFrame, length: int, grams: tuple[int, ...], most: int) -> DataFrame:
+    """`pieces` (key, n, twice, bytes, segment), one for each place, as (segment, found, places): the
+    stretches of strings that start elsewhere, and at how many places; written out. `grams`: the
+    lengths of keys still to come, `most`: the bytes of a shard."""
+    distinct = pieces.groupBy("segment").agg(*[F.first(c).alias(c) for c in ("key", "n", "bytes", "twice")], F.count("*").alias("places"))
     distinct = common.written(distinct)
-    by_key = distinct.groupBy("key").agg(F.count("*").alias("distinct"), F.sum(F.octet_length("bytes")).alias("size"), F.max("twice").alias("twice"))
+    used = [distinct]
+    by_key = distinct.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.octet_length("bytes")).alias("size"), F.max("twice").alias("twice"), F.max("n").alias("longest"))
     # A key with one segment has its answer in the count, unless strings may repeat within.
-    open_ = common.cut(by_key.where("distinct > 1 OR twice").select("key", "distinct", "size"))
-    rest = distinct.join(open_, "key")
-    if hot is None:
-        found = _in_strings(rest, length)
+    open_ = by_key.where("rows > 1 OR twice").withColumn("periodic", F.col("longest") > 4 * length)
+    open_ = common.cut(open_.withColumn("fits", ~F.col("periodic") & (F.col("size") <= most)).withColumn("_hash", F.xxhash64("key")))
+    open_ = open_.withColumn("_bucket", F.pmod("_hash", F.lit(common.buckets(open_.count()))))
+    ahead = common.running(open_.where("fits"), [], "_bucket", [F.col("key")], F.col("size"), "_before", "_total").withColumn("shard", F.expr(f"_before div {most}"))
+    columns = ["key", "rows", "shard", "periodic"]
+    ahead = common.cut(ahead.select(*columns).unionByName(open_.where("NOT fits").withColumn("shard", F.lit(None).cast("bigint")).select(*columns)))
+    rest = common.joined_spread(distinct.select("key", "segment", "bytes"), ahead, "key", "rows", F.xxhash64("segment"))
+    if open_.where("NOT fits").isEmpty():
+        found = _in_shards(rest, open_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], length)
     else:
-        total = open_.where(F.col("distinct") <= hot).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
-        found = _in_shards(rest.where(F.col("distinct") <= hot), max(1, -(-total // SHARD_BYTES)), length)
-        if not open_.where(F.col("distinct") > hot).isEmpty():
-            fine = common.written(_finely(rest.where(F.col("distinct") > hot), length))
-            hits = _shifted(fine.select("segment", F.col("of").alias("to"), "start"), _answers(fine, length, None))
-            found = found.unionByName(hits.withColumnRenamed("to", "segment"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("bytes") - length).cast("long").alias("last")))
-    return common.cut(found.unionByName(distinct.where("times > 1").select("segment", whole.alias("found"))))
-
-
-def _shifted(places: DataFrame, found: DataFrame) -> DataFrame:
+        rest = common.written(rest)
+        used.append(rest)
+        found = _in_shards(rest.where("shard IS NOT NULL"), open_.where("fits").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], length)
+        large = rest.where("shard IS NULL")
+        if grams and not large.where("NOT periodic").isEmpty():
+            again = _cut_again(large.where("NOT periodic"), length, grams[0])
+            used.append(_answers(again, length, grams[1:], most))
+            found = found.unionByName(_shifted(again, used[-1]).withColumnRenamed("to", "segment"))
+            large = large.where("periodic")
+        if not large.isEmpty():
+            found = found.unionByName(_whole(large, length))
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("n") - 1).alias("last")))
+    copied = distinct.where("places > 1").select("segment", all_of_it.alias("found"), "places")
+    # Several answers for a segment add up.
+    answers = found.withColumn("places", F.lit(None).cast("bigint")).unionByName(copied)
+    answers = common.written(answers.groupBy("segment").agg(F.flatten(F.collect_list("found")).alias("found"), F.max("places").alias("places")))
+    common.dropped(*used)
+    return answers
+
+
+def _shifted(pieces: DataFrame, found: DataFrame) -> DataFrame:
     """What was found in segments, for each `to` that they lie in at `start`."""
+    found = found.withColumn("places", F.coalesce("places", F.lit(1)))
+    placed = common.joined_spread(pieces.select("segment", "to", "start"), found, "segment", "places", F.xxhash64("to", "start"))
     moved = F.transform("found", lambda x: F.struct((x["first"] + F.col("start")).alias("first"), (x["last"] + F.col("start")).alias("last")))
-    return places.join(found, "segment").select("to", moved.alias("found")).groupBy("to").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return placed.select("to", moved.alias("found")).groupBy("to").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
-def removable(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def removable(texts: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most: int = SHARD_BYTES) -> DataFrame:
     """`texts` (content, text) with repeats as (content, text, found): the stretches of starts of
     strings that start elsewhere in another text or in the same one. Texts without any are left out."""
-    keyed = common.written(_keyed(texts, length))
-    place = F.xxhash64("content", "start")
-    many = keyed.groupBy("key").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("twice").alias("twice"))
-    many = common.cut(many.where("p <> q OR twice").select("key"))
-    wanted = keyed.join(many, "key").groupBy("content").agg(F.collect_set(F.struct("key", "start", "n", "twice")).alias("runs"))
+    keyed = common.written(_keyed(texts, length, grams[0]))
+    many = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.count_if("twice").alias("twice_"))
+    many = common.cut(many.where("rows > 1 OR twice_ > 0").select("key", "rows"))
+    wanted = common.joined_spread(keyed, many, "key", "rows", F.xxhash64("content", "start"))
+    wanted = wanted.groupBy("content").agg(F.collect_set(F.struct("key", "start", "n", "twice")).alias("runs"))
     once = texts.groupBy("content").agg(F.collect_set("text").alias("texts"))
     chosen = common.written(once.join(wanted, "content").select("content", F.explode("texts").alias("text"), "runs"))
+    common.dropped(keyed)
 
     segments = _segments(chosen, length)
-    found = _answers(segments.select("key", "twice", "bytes", "segment"), length, hot)
-    hits = _shifted(segments.select("segment", F.col("content").alias("to"), "start"), found).withColumnRenamed("to", "content")
+    hits = _shifted(segments, _answers(segments, length, grams[1:], most)).withColumnRenamed("to", "content")
     return chosen.select("content", "text").join(hits, "content")
 
 
@@ -283,12 +346,14 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     narrow = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     long = docs.where(F.octet_length("text") >= length).select(content(F.col("text")).alias("content"), "text")
-    partly = _removed(removable(long, length), length).withColumn("copied", F.lit(False))
-    copied = narrow.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes")).where("n > 1")
+    copied = narrow.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("rows"), F.first("n_bytes").alias("n_bytes")).where("rows > 1")
     # A text with copies loses all: this outweighs what was found in part.
-    copied = copied.select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept"), F.lit(True).alias("copied"))
-    facts = common.cut(partly.unionByName(copied).groupBy("sha").agg(F.max_by(F.struct("n_removed", "n_spans", "kept"), "copied").alias("f")))
-    return narrow.join(facts, "sha", "left").select(
+    copied = copied.select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept"), "rows")
+    with common.scope():
+        partly = _removed(removable(long, length), length).withColumn("rows", F.lit(1).cast("long"))
+        fact = F.max_by(F.struct("n_removed", "n_spans", "kept"), "rows").alias("f")
+        facts = common.cut(partly.unionByName(copied).groupBy("sha").agg(fact, F.max("rows").alias("rows")))
+    return common.joined_spread(narrow, facts, "sha", "rows", F.xxhash64("doc_id"), "left").select(
         "doc_id", "n_bytes", F.coalesce("f.n_removed", F.lit(0)).alias("n_removed"), F.coalesce("f.n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("f.kept", "sha").alias("kept_sha256"),
     )
