@@ -7,8 +7,9 @@
    filled sequences. The plan has a row for each such placing: at most a few thousands.
 4. Each piece takes the planned slot of its rank among the pieces of its length.
 
-Tokens come from a worker cache by pre-token: the tokenizer never joins a space to what precedes
-it, so a text may be cut before each space that follows a character other than white space.
+Tokens come from the library that reads the same vocabulary as ranks, at about a third of the cost;
+where the two could differ (special strings inside a text) or its pattern's search runs out of
+stack (white space by the thousand), and for any other vocabulary, from the tokenizer's own.
 
 Defined results: null and empty texts are the end id alone; texts are taken whole; repeated rows
 and ids are documents like any other; further columns are ignored; an empty table gives no rows.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,27 +31,13 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENS = "byte_bpe_50k.json"
-#: Where a text may be cut: before a space behind a character that is no white space.
-CUT = re.compile(r"(?<=\S)(?= )")
-UNCUT_SPACE = re.compile(r"\s ")
-BUCKETS = 512
-
-
-#: Texts whose words the tokenizer's pattern splits as WORDS does: Latin letters, digits and signs
-#: but for the apostrophe, which may start a word of its own, and the < of special tokens.
-LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(f"[ \\n{LATIN}0-9.,!?;:*$%&#()|+=_@/-]+")
-WORDS = re.compile(f" ?[{LATIN}]+| ?[0-9]+| ?[^ \\n{LATIN}0-9]+|[ \\n]+(?![^ \\n])|[ \\n]+")
-RANKS = "byte_bpe_50k.tiktoken"
+#: The file that holds a tokenizer's vocabulary as ranks.
+RANKS = {TOKENS: "byte_bpe_50k.tiktoken"}
+LONG_SPACE = re.compile(r"\s{1000}")
 
 
 class Ids:
-    """Token ids in one worker process, as little-endian unsigned 32-bit integers.
-
-    The library spends most of its time on what surrounds a word's merges. Plain words are merged
-    by their ranks alone, from the file that holds the same vocabulary as ranks; all else, and any
-    other vocabulary, goes to the library.
-    """
+    """Token ids in one worker process."""
 
     kept: dict = {}
 
@@ -61,71 +47,62 @@ class Ids:
             cls.kept[name] = cls(name)
         return cls.kept[name]
 
-    def __init__(self, name: str, room: int = 400_000):
+    def __init__(self, name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known, self.words = common.Recent(room), common.Recent(room)
-        self.merges = None
-        if name == TOKENS and sys.byteorder == "little":
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.ranked = None
+        if name in RANKS:
             import base64
 
             import tiktoken
 
-            with open(public_tokenizers.path(RANKS), "rb") as file:
+            with open(public_tokenizers.path(RANKS[name]), "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            self.merges = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        missing = self.known.lacking(set().union(*cut))
-        plain = {p: WORDS.findall(p) for p in missing if self.merges and PLAIN.fullmatch(p)}
-        for word in self.words.lacking(set().union(*plain.values())):
-            self.words[word] = array("I", self.merges(word.encode())).tobytes()
-        look = self.words.__getitem__
-        self.known.update((p, b"".join(map(look, words))) for p, words in plain.items())
-        others = [p for p in missing if p not in plain]
-        if others:
-            self.known.update(zip(others, self._encode(others)))
-        look = self.known.__getitem__
-        return [b"".join(map(look, ps)) for ps in cut]
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text in parts that start with a space each, but for the first. White space before a
-        space stays with it: the tokenizer takes such a run together."""
-        if UNCUT_SPACE.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def of_text(self, text: str) -> list[int]:
+        if self.ranked is None or any(s in text for s in self.special) or LONG_SPACE.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.ranked(text)
 
 
 def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, name: str = TOKENS) -> DataFrame:
     """`docs` (doc_id, text) as (doc_id, piece, start, length, ids_crc32)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    close = np.array([end], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = Ids.of(name)
+        little = np.dtype("<u4")
         for batch in batches:
             for some in common.slices(batch, 1):
-                rows = []
-                for doc_id, tokens in zip(some.column(0).to_pylist(), ids.of_texts(some.column(1).to_pylist())):
-                    tokens += close
+                totals, checks = [], []
+                for text in some.column(1).to_pylist():
+                    tokens = ids.of_text(text)
+                    tokens.append(end)
+                    tokens = memoryview(np.frombuffer(array("I", tokens), np.uint32).astype(little, copy=False)).cast("B")
                     n = len(tokens) // 4
-                    start, piece = 0, 0
-                    while start < n:
-                        length = (n - start) % capacity or capacity
-                        rows.append((doc_id, piece, start, length, zlib.crc32(tokens[4 * start : 4 * (start + length)])))
-                        start, piece = start + length, piece + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    totals.append(n)
+                    # The first piece is the shorter one.
+                    at = 0
+                    for stop in range((n - 1) % capacity + 1, n + 1, capacity):
+                        checks.append(zlib.crc32(tokens[4 * at : 4 * stop]))
+                        at = stop
+                total = np.array(totals, np.int64)
+                count = -(-total // capacity)
+                owner = np.repeat(np.arange(len(total)), count)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                first = ((total - 1) % capacity + 1)[owner]
+                start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(checks, pa.int64())], names
+                )
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -174,10 +151,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """`cut` (doc_id, piece, length, ...) with sequence_id and offset. Read twice: see common.cut."""
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-
     rows = plan(counts, capacity)
+    n_buckets = common.buckets(max(counts.values(), default=0))
     planned = cut.sparkSession.createDataFrame(rows, "_length bigint, _rank bigint, _count bigint, _sequence bigint, _offset bigint")
-    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
+    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
     ranked = common.running(keyed, ["length"], "_bucket", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.lit(1).cast("long"), "_at", "_n")
     # The plan's size is bounded by the capacity, not by the input: at most a few rows a length.
     slot = (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_count"))
