@@ -7,8 +7,8 @@ Every line with a word is judged by three rules:
 * navigation: at least two separators, and one for at most every third word;
 * boilerplate: it holds a stock phrase (cookie notices, rights, script notices, placeholders).
 
-Failing lines are removed. A document is kept unless the base rules fail it or the removed lines
-hold over `most_lost` of its word characters.
+Failing lines are removed, each with the line break behind it; blank lines stay. A document is kept
+unless the base rules fail it or the removed lines hold over `most_lost` of its word characters.
 
 Base rules: fewer than 20 words, or over 30% of the words inside 8-word windows that occur twice.
 
@@ -46,10 +46,12 @@ def _count(line: Column, some: str) -> Column:
     return F.when(line.rlike(pattern), F.length(line) - F.length(F.translate(line, some, ""))).otherwise(0)
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, chars: Column | None = None) -> Column:
+    """Whether a line with a word fails; `chars`: its code points outside white space."""
+    chars = _chars(line) if chars is None else chars
     n = F.size(F.split(line, common.SPACES))
     symbols, shouts, separators = _count(line, "#*$%&|<>{}=~^\\@"), _count(line, "!"), _count(line, SEPARATORS)
-    punctuation = ~line.rlike(TERMINAL) | ((symbols > 0) & (symbols * 5 > _chars(line))) | ((shouts >= 3) & (shouts * 4 > n))
+    punctuation = ~line.rlike(TERMINAL) | ((symbols > 0) & (symbols * 5 > chars)) | ((shouts >= 3) & (shouts * 4 > n))
     navigation = (separators >= 2) & (separators * 3 >= n)
     low = F.lower(line)
     boilerplate = F.lit(False)
@@ -58,20 +60,20 @@ def line_fails(line: Column) -> Column:
     return punctuation | navigation | boilerplate
 
 
-def clean_lines(text: Column) -> Column:
-    """The lines that hold a word and pass, in order."""
-    return F.filter(_lines(text), lambda x: ~line_fails(x))
-
-
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def judged(text: Column) -> Column:
+    """Every line of a text once: the line, its code points outside white space, whether it fails.
+    Blank lines have no such code points and don't fail."""
+    sized = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _chars(x).alias("chars")))
+    return F.transform(sized, lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), ((x["chars"] > 0) & line_fails(x["line"], x["chars"])).alias("fails")))
 
 
 def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     """`docs` (text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept_chars (word characters of the lines that pass) and kept."""
+    base_failed, kept_chars (word characters of the lines that pass), n_failing_lines, clean_text
+    (without the lines that fail) and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("_words", common.words(F.col("text"))).withColumn("_lines", _lines(text))
+    d = docs.withColumn("_words", common.words(F.col("text"))).withColumn("_judged", judged(text))
+    d = d.withColumn("_lines", F.transform(F.filter("_judged", lambda x: x["chars"] > 0), lambda x: x["line"]))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     d = d.withColumn("word_chars", _chars(text).cast("long"))
     d = d.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
@@ -90,14 +92,16 @@ def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     ends = F.zip_with("_at", F.slice("_at", F.lit(2), F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     d = d.withColumn("n_repeat_words", F.coalesce(F.aggregate(ends, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"))
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    lost = F.aggregate(F.filter("_lines", line_fails), F.lit(0), lambda s, x: s + _chars(x))
-    d = d.withColumn("kept_chars", F.col("word_chars") - lost)
+    d = d.withColumn("_failing", F.filter("_judged", lambda x: x["fails"])).withColumn("n_failing_lines", F.size("_failing").cast("long"))
+    d = d.withColumn("kept_chars", F.col("word_chars") - F.aggregate("_failing", F.lit(0), lambda s, x: s + x["chars"]))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= (1 - most_lost) * F.col("word_chars")))
-    return d.drop("_words", "_hashes", "_lines", "_windows", "_sorted", "_at")
+    passing = F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    d = d.withColumn("clean_text", F.when(F.col("n_failing_lines") > 0, passing).otherwise(F.col("text")))
+    return d.drop("_words", "_hashes", "_lines", "_judged", "_failing", "_windows", "_sorted", "_at")
 
 
 def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
-    """The rows of `docs` that are kept, whole.
+    """The rows of `docs` that are kept, their texts without the lines that fail.
 
     A row is repeated once or not at all. A filter would do the same, but the optimizer would copy
     the whole tree of rules, many times over, into one below the projections.
@@ -105,7 +109,7 @@ def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     once = F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("_once")
     # Rows travel as one value, so that their columns may have any names.
     rows = measure(docs.select("text", F.struct("*").alias("_row")), most_lost)
-    return rows.select("_row", once).select("_row.*")
+    return rows.select(F.col("_row").withField("text", F.col("clean_text")).alias("_row"), once).select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import catalog, packing, pii, simhash, substrings, suffixes
+from corpusloom.llm import catalog, packing, pii, quality, simhash, substrings, suffixes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ALL = list(catalog.QUERIES)
@@ -59,11 +59,12 @@ def test_plan_places_every_piece():
     assert sum(filled.values()) == sum(k * n for k, n in counts.items())
 
 
-def test_cut_texts_keep_their_tokens():
+def test_ids_are_the_librarys():
     ids = packing.Ids(packing.TOKENS)
-    texts = ["a  b", " \xa0 \xa0 x", "a \n b\n c", "<|endoftext|> a<|endoftext|>", "", "  ", "x \t y"]
+    texts = ["a  b", " \xa0 \xa0 x", "a \n b\n c", "<|endoftext|> a<|endoftext|>", "", "  ", "x \t y", "it's I'LL 'quote'", "a" * 3000, " " * 5000 + "x", "=-" * 900, "日本語 €5 “q” ﬁ ½"]
+    texts += [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1\n{chr(c)}" for c in [*range(0x600), *range(0x2000, 0x2100), 0x3000, 0x4E00, 0x1F600]]
     for t in texts:
-        assert ids.of_texts([t])[0] == np.array(ids.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert ids.of_text(t) == ids.library.encode(t, add_special_tokens=False).ids
 
 
 def test_fingerprints(spark, table, odd_texts):
@@ -188,6 +189,44 @@ def test_quality_lines(spark, table):
     assert list(got.kept) == [True, False, True]
 
 
+SEPARATORS, SIGNS = set("|»›·•"), set("#*$%&|<>{}=~^\\@")
+
+
+def line_fails(line):
+    """The three line rules in plain Python."""
+    words = WORD.findall(line)
+    chars = sum(map(len, words))
+    n = len(re.split("[\x20\x09-\x0d]+", line))
+    signs, shouts, separators = (sum(c in some for c in line) for some in (SIGNS, {"!"}, SEPARATORS))
+    ends = re.search("[.!?…:;。！？][\"'”’»)\\]]*(?:[\x20\x09-\x0d]|$)", line)
+    low = line.lower()
+    return not ends or signs * 5 > chars or (shouts >= 3 and shouts * 4 > n) or (separators >= 2 and separators * 3 >= n) or any(x in low for x in quality.BOILERPLATE)
+
+
+def test_line_rules_against_plain_python(spark):
+    rng = np.random.default_rng(9)
+    words = ["alpha", "beta.", "gamma!", "delta", "|", "»", "#", "$$$", "end.\"", "x;y", "Click here", "ALL RIGHTS RESERVED.", "é…", "", "\t", "!!", "a:b", "(so?)"]
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(rng.integers(1, 7))) for _ in range(600)] + [None, "", "\n\n"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in quality.measure(docs).collect()}
+    for k, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        fails = [bool(WORD.search(x)) and line_fails(x) for x in lines]
+        kept = sum(len(w) for x, f in zip(lines, fails) if not f for w in WORD.findall(x))
+        assert got[k]["n_failing_lines"] == sum(fails), t
+        assert got[k]["clean_text"] == (t if not any(fails) else "\n".join(x for x, f in zip(lines, fails) if not f))
+        assert got[k]["kept_chars"] == kept
+        assert got[k]["kept"] == (not got[k]["base_failed"] and 2 * kept >= got[k]["word_chars"])
+
+
+def test_cleaning_removes_failing_lines(spark):
+    prose = "\n".join(" ".join(f"word{k}of{j}" for j in range(12)) + "." for k in range(5))
+    rows = [(1, prose + "\nHome | About | News | Help\n\n" + prose.upper(), "a", 7), (None, "Home | About", "b", 8), (None, prose, "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kept string, _row int")
+    got = sorted(map(tuple, quality.clean(docs).collect()), key=str)
+    assert got == sorted([(1, prose + "\n\n" + prose.upper(), "a", 7), (None, prose, "c", 9)], key=str)
+
+
 def removed(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     starts = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
@@ -199,19 +238,42 @@ def removed(texts, length=200):
         yield len(t), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [400, 1])
-def test_substrings(spark, table, monkeypatch, hot):
-    rng = np.random.default_rng(1)
-    noise = lambda n: "".join(rng.choice(list("abcdé \n"), n))
-    shared, period = noise(300), "ab" * 400
-    texts = [None, "", noise(900), noise(500) + shared + noise(500), shared + noise(700), noise(90) + shared, period, noise(40) + "xyz" * 150, noise(600) * 2, "z" * 1200]
-    texts += [noise(100) + shared + noise(100) for _ in range(4)]
-    monkeypatch.setattr(substrings.removable, "__defaults__", (200, hot))
-    got = run(spark, query(7), table(texts)).set_index("doc_id").sort_index()
+def compared(spark, sf_dir, texts):
+    got = run(spark, query(7), sf_dir).set_index("doc_id").sort_index()
     for k, expected in enumerate(removed(texts)):
         assert tuple(got.loc[k][["n_bytes", "n_removed", "n_spans", "kept_sha256"]]) == expected
 
 
+def noise(rng, n):
+    return "".join(rng.choice(list("abcdé \n"), n))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2500])
+def test_substrings(spark, table, monkeypatch, most):
+    rng = np.random.default_rng(1)
+    shared, period = noise(rng, 300), "ab" * 400
+    texts = [None, "", noise(rng, 900), noise(rng, 500) + shared + noise(rng, 500), shared + noise(rng, 700), noise(rng, 90) + shared]
+    texts += [period, noise(rng, 40) + "xyz" * 150, noise(rng, 600) * 2, "z" * 1200, noise(rng, 50) + "z" * 1100]
+    texts += [noise(rng, 100) + shared + noise(rng, 100) for _ in range(4)]
+    monkeypatch.setattr(substrings.removable, "__defaults__", (200, substrings.GRAMS, most))
+    compared(spark, table(texts), texts)
+
+
+@pytest.mark.parametrize("most", [60_000, 5000])
+def test_substrings_of_a_large_group(spark, table, monkeypatch, most):
+    """A passage that many differing texts share, and near copies with one change each: single keys
+    with far more differing segments than a shard takes, at every length of key."""
+    rng = np.random.default_rng(4)
+    passage, base = noise(rng, 420), noise(rng, 700)
+    texts = [noise(rng, int(rng.integers(150, 260))) + passage + noise(rng, int(rng.integers(150, 260))) for _ in range(150)]
+    for _ in range(100):
+        at = int(rng.integers(0, 700))
+        texts.append(base[:at] + "Q" + str(rng.integers(0, 10**6)) + base[at:])
+    monkeypatch.setattr(substrings.removable, "__defaults__", (200, substrings.GRAMS, most))
+    monkeypatch.setattr(substrings, "STEP", 300)
+    compared(spark, table(texts), texts)
+
+
 def test_substrings_of_copies(spark, table, odd_texts):
     got = run(spark, query(7), table(odd_texts[:9], twice=(4,)))
     assert (got[got.doc_id == 4].n_removed == 0).all()
@@ -222,11 +284,13 @@ def test_substrings_of_copies(spark, table, odd_texts):
 
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        t = bytes(rng.choice(list(b"abc"), rng.integers(0, 80)).tolist())
+    for k in range(400):
+        t = bytes(rng.choice(list(b"abc") if k % 2 else range(256), rng.integers(0, 120)).tolist()) * (1 + k % 3) + b"ab" * (k % 40)
         a = np.frombuffer(t, np.uint8)
         order = suffixes.suffix_array(a)
         assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        if t:
+            assert suffixes._of_names(a.astype(np.int32)).tolist() == order.tolist()
 
 
 def test_sharding(spark, table, odd_texts):
