@@ -1,14 +1,15 @@
 """Document fingerprints by I-Match over randomised lexicon subsets [native].
 
 Terms are runs of letters and digits, in lower case. The lexicon holds the terms whose share of
-documents lies in the band [`lo`, `hi`]. A share of at least `lo` bounds its size by the mean
+documents lies in the band [`lo`, `hi`]; a text with very many copies counts once. A share of at least `lo` bounds its size by the mean
 number of distinct terms of a document over `lo`, however large the corpus, so it may be sent to
 every task. A seeded hash deals the lexicon into `1 << bits` random subsets. A document's distinct
 lexicon terms are sorted, and those of each subset are hashed together: the fingerprint is the
 list of (subset, hash) of the subsets that it touches. Likeness is the share of equal hashes among
 the subsets that either document touches; equal texts have equal fingerprints and likeness 1.
 
-A document without any lexicon term is fingerprinted by its exact text.
+A document without any lexicon term is dealt by all its terms in the same way (near copies by the
+million put their own terms above the band), and one without any term is fingerprinted by its text.
 
 Defined results: null texts are empty; texts are taken whole; rows with one doc_id follow each
 other in the order of their texts; null ids come last; other columns are ignored; an empty table
@@ -17,8 +18,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,21 +32,35 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lit(SEED), w)))
 
 
-def lexicon(docs: DataFrame, lo: float = 0.01, hi: float = 0.1) -> Column:
-    """The hashed terms of the band as a constant array, from the counts of all documents. Their
-    number has the bound stated above, so they pass through the driver.
+def lexicon(docs: DataFrame, lo: float = 0.01, hi: float = 0.1) -> list[int]:
+    """The hashed terms of the band, from the counts of all documents. Their number has the bound
+    stated above, so they pass through the driver.
 
     In corpora too small for the band (hi * documents below 2) terms of two documents belong.
     """
-    n = docs.count()
-    counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    copies = docs.groupBy(content.alias("_content")).agg(F.count("*").alias("_n"))
+    rows = docs.count()
+    # Fewer than 4096 texts can hold over a 4096th of the rows each.
+    hot = common.cut(copies.where(F.col("_n") > max(100.0, rows * common.HOT_SHARE)))
+    n = rows - hot.agg(F.coalesce(F.sum("_n"), F.lit(0)) - F.count("*")).first()[0]
+    marked = docs.select("text", content.alias("_content")).join(F.broadcast(hot), "_content", "left")
+    each = marked.where("_n IS NULL").select("text").union(marked.where("_n IS NOT NULL").groupBy("_content").agg(F.first("text").alias("text")).select("text"))
+    counted = each.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = counted.where((F.col("df") >= lo * n) & (F.col("df") <= max(2.0, hi * n))).select("term").collect()
-    return F.from_json(F.lit(json.dumps(sorted(r["term"] for r in band))), "array<bigint>")
+    return sorted(r["term"] for r in band)
+
+
+def with_slots(docs: DataFrame, text: str, known: list[int], out: str = "slots", bits: int = 7) -> DataFrame:
+    """`docs` with the subsets' hashes of a text: subset << 24 | hash, ascending by the subset's bits;
+    empty without terms. The lexicon is a set of constants, in which each term is looked up."""
+    inside = "t IN (" + ",".join(f"{k}L" for k in known) + ")" if known else "false"
+    d = docs.withColumn("_terms", terms(F.col(text))).withColumn("_known", F.expr(f"filter(_terms, t -> {inside})"))
+    d = d.withColumn("_own", F.array_sort(F.when(F.size("_known") > 0, F.col("_known")).otherwise(F.col("_terms"))))
+    return d.withColumn(out, _dealt(F.col("_own"), bits)).drop("_terms", "_known", "_own")
 
 
-def slots(text: Column, known: Column, bits: int = 7) -> Column:
-    """The subsets' hashes: subset << 24 | hash, ascending by subset's bits; empty without terms."""
-    own = F.array_sort(F.array_intersect(known, terms(text)))
+def _dealt(own: Column, bits: int) -> Column:
     start = F.struct(F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<bigint>").alias("out"))
     packed = lambda acc: F.shiftleft(acc["slot"].cast("long"), 24).bitwiseOR(acc["hash"].bitwiseAND(F.lit((1 << 24) - 1)))
     closed = lambda acc: F.when(acc["slot"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(packed(acc))))
@@ -113,10 +126,10 @@ def with_next(docs: DataFrame, carried: list[str], rows_each: int = 500, side_mo
     return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("_guest = 0").drop("_range", "_guest")
 
 
-def fingerprint(docs: DataFrame, known: Column | None = None, bits: int = 7) -> DataFrame:
+def fingerprint(docs: DataFrame, known: list[int] | None = None, bits: int = 7) -> DataFrame:
     """`docs` (text, ...) with `slots` and `fingerprint`; `known`: a lexicon() of some corpus."""
     known = lexicon(docs) if known is None else known
-    return docs.withColumn("slots", slots(F.col("text"), known, bits)).withColumn("fingerprint", written(F.col("slots"), F.col("text")))
+    return with_slots(docs, "text", known, "slots", bits).withColumn("fingerprint", written(F.col("slots"), F.col("text")))
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +139,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.expr("length(text) div 2").cast("int")
     d = d.withColumn("_edited", F.concat(F.left(F.col("text"), (n - half).cast("int")), F.left(F.col("next_text"), half)))
-    d = d.withColumn("_slots", slots(F.col("_edited"), known))
+    d = with_slots(d, "_edited", known, "_slots")
     like = lambda slot_list, text: F.when(F.col("text") == text, F.lit(1.0)).otherwise(likeness(F.col("slots"), slot_list))
     return d.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),

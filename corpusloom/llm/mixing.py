@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 512
 WEIGHTS = (5, 2, 1)
 #: frac(i * phi) as i * PHI mod 2^32, in exact integers: PHI is the odd number next to 2^32 / phi.
 PHI, POINTS = 2654435769, 1 << 32
@@ -87,7 +86,7 @@ def schedule(spark: SparkSession, planned: DataFrame, max_repeats: int = 3) -> D
         .join(cells, "_cell")
         .where("_point >= lo AND _point < hi")
         .select("_source_no", "n_blocks", "id")
-        .withColumn("_run", F.expr(f"id * {BUCKETS} div {max(most, 1)}"))
+        .withColumn("_run", F.expr(f"id * {common.buckets(most)} div {max(most, 1)}"))
     )
     ranked = common.running(placed, ["_source_no"], "_run", [F.col("id")], F.lit(1).cast("long"), "rank", "_n")
     # Rounding may give a source a few slots beyond its last allowed pass; those stay empty.
@@ -105,6 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, slots: int = 1 <
     """
     spark = docs.sparkSession
     docs = common.cut(docs)
+    n_buckets = common.buckets(docs.count())
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("_source_no")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     planned = common.cut(plan(sizes, weights, max_repeats, slots).select("*", number))
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, slots: int = 1 <
     blank = docs.where("size = 0").join(facts, at_source).withColumn("taken", F.lit(0).cast("long"))
 
     keyed = docs.where("size > 0").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    keyed = keyed.withColumn("_bucket", F.pmod("_key", F.lit(BUCKETS)))
+    keyed = keyed.withColumn("_bucket", F.pmod("_key", F.lit(n_buckets)))
     line = common.running(keyed, ["source"], "_bucket", [F.col("_key"), F.col("doc_id")], F.col("size"), "_start", "_line")
     line = line.join(facts, at_source).withColumn("_end", F.col("_start") + F.col("size"))
     line = line.withColumn("_first", _block_at("_start")).withColumn("_last", _block_at("_end - 1"))
@@ -160,13 +160,14 @@ def copies(docs: DataFrame, seed: int = 10, **settings) -> DataFrame:
 
     Rows alike in doc_id, source and text get the same number of copies.
     """
-    same = ["doc_id", "source", "_text"]
-    narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("_text"), common.n_words(F.col("text")).alias("size"))
-    mixed = mix(narrow, seed=seed, **settings).groupBy(*same, "size").agg(F.avg("taken").alias("taken"))
-    mixed = mixed.select(*[F.col(c).alias(f"{c}_m") for c in same], F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("_copies"))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    on = [keyed[c].eqNullSafe(mixed[f"{c}_m"]) for c in same]
-    return keyed.join(mixed.where("_copies > 0"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    # Rows travel as one value, so that their columns may have any names.
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("content"), common.n_words(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    same = ["doc_id", "source", "content"]
+    mixed = mix(rows.drop("row"), seed=seed, **settings).groupBy(*same, "size").agg(F.avg("taken").alias("taken"))
+    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    mixed = mixed.select(*[F.col(c).alias(f"m_{c}") for c in same], times.alias("times")).where("times > 0")
+    taken = rows.drop("size").join(mixed, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in same])
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ other; other columns are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,13 @@ RULES = (
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 )
 BASE = 3
-RULE_VERSION = "rules-1"
 #: What a text must hold for a rule to be worth the full scan: patterns that need no backtracking.
 HINTS = {"hex": "[0-9a-f]{16}", "assign": r"(?i)(?:passw|secret|token|api_?key)"}
+#: Patterns that match the same as a rule's, with fewer tries: a class that only runs of some length satisfy, as such runs.
+EXACT = {"hex": "[0-9a-f]{16,}"}
+#: Follows from the rules: whoever changes one has scanned nothing yet.
+RULE_VERSION = hashlib.sha256(repr((RULES, HINTS, EXACT)).encode()).hexdigest()[:16]
+LEDGER = "blob string, rule_version string, findings array<struct<kind:string,rank:int,start:int,end:int>>"
 
 
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -66,8 +72,7 @@ def scan(blobs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int>>")
     by_kind = []
     for rank, (kind, pattern, group, least) in enumerate(RULES):
-        # A class that only runs of some length satisfy is matched as such runs: the same matches, fewer tries.
-        exact = {"hex": "[0-9a-f]{16,}"}.get(kind, pattern)
+        exact = EXACT.get(kind, pattern)
         hint = HINTS.get(kind, pattern)
         found = F.when(F.col("text").rlike(hint), spans(F.col("text"), exact, group, least)).otherwise(none)
         by_kind.append(F.transform(found, _named(kind, rank)))
@@ -87,8 +92,24 @@ def unseen(docs: DataFrame, ledger: DataFrame | None) -> DataFrame:
     return addressed.groupBy("blob").agg(F.first("text").alias("text"))
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored in a folder, by rule version; an empty one if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.parquet(path).select("blob", F.col("rule_version").cast("string").alias("rule_version"), "findings")
+
+
+def append(docs: DataFrame, path: str) -> DataFrame:
+    """Scans what the stored ledger lacks, adds it there, and returns the ledger."""
+    ledger = load(docs.sparkSession, path)
+    fresh = common.cut(scan(unseen(address(docs), ledger)))
+    fresh.write.partitionBy("rule_version").mode("append").parquet(path)
+    return load(docs.sparkSession, path)
+
+
 def update(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger (blob, rule_version, findings) after scanning what it doesn't hold, written out."""
+    """The ledger (blob, rule_version, findings) after scanning what it doesn't hold, cut."""
     fresh = scan(unseen(address(docs), ledger))
     return common.cut(fresh if ledger is None else ledger.unionByName(fresh))
 
@@ -98,7 +119,10 @@ def find(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     ledger = update(docs, ledger)
     paths = address(docs).drop("text")
     hits = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("blob", "findings")
-    return paths.join(hits, "blob", "left")
+    # A blob may be the text of very many paths: the empty one is that of all null texts.
+    counted = paths.groupBy("blob").agg(F.count("*").alias("_paths"))
+    hits = common.cut(hits.join(counted, "blob"))
+    return common.joined_spread(paths, hits, "blob", "_paths", F.xxhash64(*[c for c in paths.columns if c != "blob"]), "left")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

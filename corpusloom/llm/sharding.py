@@ -20,17 +20,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1024
-
-
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 8) -> DataFrame:
     """`docs` (doc_id, source, further columns) with `shard` (int) and `slot` (long)."""
+    n_buckets = common.buckets(docs.count())
     dealt = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", *_rest(docs)))
-    dealt = dealt.withColumn("_bucket", F.pmod("_key", F.lit(BUCKETS)))
+    dealt = dealt.withColumn("_bucket", F.pmod("_key", F.lit(n_buckets)))
     order = [F.col("_key"), F.col("doc_id")]
     ranked = common.running(dealt, ["source"], "_bucket", order, F.lit(1).cast("long"), "_rank", "_n")
     ranked = ranked.withColumn("_at", (F.col("_rank") + F.lit(0.5)) / F.col("_n"))
-    ranked = ranked.withColumn("_bucket", F.floor(F.col("_at") * (4 * BUCKETS)))
+    ranked = ranked.withColumn("_bucket", F.floor(F.col("_at") * n_buckets))
     order = [F.col("_at"), F.xxhash64(F.lit(seed), "source"), F.col("source"), F.col("_key"), F.col("doc_id")]
     placed = common.running(ranked, [], "_bucket", order, F.lit(1).cast("long"), "_place", "_all")
     first = F.expr(f"(_shard * _all) div {shards}")

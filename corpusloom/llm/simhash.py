@@ -130,31 +130,36 @@ def components(edges: DataFrame) -> DataFrame:
     of them. Both keep the components; they end when every vertex points at its root. The rounds
     grow with the logarithm of a component's size.
     """
-    edges = common.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = common.cut(large)
+        large = common.written(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-        after = common.cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        after = common.written(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         # Done when the stars are what they were: each round either changes an edge or none.
-        if after.exceptAll(edges).isEmpty() and after.count() == edges.count():
-            return after.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(after.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct())
+        done = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        common.dropped(edges, large)
+        if done:
+            stars = common.cut(after)
+            common.dropped(after)
+            return stars.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct())
         edges = after
 
 
 def grouped(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """`docs` (doc_id, text) as (doc_id, bits, component_id), the least doc_id of the component."""
     marked = common.cut(fingerprints(docs, shingle))
-    distinct = common.cut(marked.groupBy("bits").agg(F.min("doc_id").alias("first")))
+    distinct = common.cut(marked.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     roots = components(links(distinct.select("bits"), threshold))
-    members = distinct.join(roots, distinct["bits"] == roots["vertex"], "left").select("bits", F.coalesce("root", "bits").alias("root"), "first")
+    members = distinct.join(roots, distinct["bits"] == roots["vertex"], "left").select("bits", F.coalesce("root", "bits").alias("root"), "first", "rows")
     members = common.cut(members)
     firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.cut(members.join(firsts, "root").select("bits", "component_id"))
-    return marked.join(named, "bits")
+    named = common.cut(members.join(firsts, "root").select("bits", "component_id", "rows"))
+    # One fingerprint may be that of very many rows: 0 is that of all texts without words.
+    return common.joined_spread(marked, named, "bits", "rows", F.xxhash64("doc_id"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

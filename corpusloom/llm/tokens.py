@@ -6,8 +6,8 @@ parts add up. Such a part, a pre-token, is looked up first in a compact table of
 frequent pre-tokens, broadcast once, then in the worker's cache; what both miss is encoded in
 batches. Pre-tokens are never shuffled.
 
-The table comes from a pass over all texts in which every task keeps a bounded list of its most
-frequent pre-tokens; it changes the speed, never a count.
+The table is counted on the driver from a bounded sample of texts (`SAMPLE` rows, each task's list
+bounded too); it sets the speed, and never a count.
 
 Defined results: null and empty texts have 0 tokens; texts are counted whole, in parts; texts
 that hold the library's own space mark or a null character go to the library uncut; repeated rows
@@ -95,9 +95,13 @@ class Counts:
         return [self.one(t) if ps is None else sum(map(look, ps)) for t, ps in zip(texts, cut)]
 
 
-def frequent(texts: DataFrame, size: int = 65_536, each: int = 16_384, room: int = 200_000) -> list[str]:
-    """The corpus's most frequent words between spaces, about: each task keeps up to `room` while it
-    counts and returns `each`; their sums' `size` largest come to the driver."""
+#: How many texts, about, the table of frequent words is counted from, and in how many tasks.
+SAMPLE, TASKS = 20_000, 16
+
+
+def frequent(texts: DataFrame, size: int = 65_536, each: int = 16_384, sample: int = SAMPLE) -> list[str]:
+    """The most frequent words between spaces in a sample of about `sample` texts. TASKS tasks return
+    `each` words at most, whatever the table's size; their sums' `size` largest count."""
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -105,14 +109,15 @@ def frequent(texts: DataFrame, size: int = 65_536, each: int = 16_384, room: int
             for some in common.slices(batch, 0):
                 for text in some.column(0).to_pylist():
                     seen.update(text.split(" "))
-                if len(seen) > room:
-                    seen = Counter(dict(seen.most_common(room // 2)))
-        top = seen.most_common(each)
+        top = [(w, n) for w, n in seen.most_common(each) if n > 1 and len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    lists = texts.mapInArrow(head, "word string, n bigint")
-    total = lists.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.length("word") <= 64))
-    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
+    rows = texts.count()
+    chosen = texts.sample(False, min(1.0, sample / max(rows, 1)), 9)
+    total: Counter = Counter()
+    for r in chosen.repartition(TASKS).mapInArrow(head, "word string, n bigint").collect():
+        total[r["word"]] += r["n"]
+    return [w for w, _ in total.most_common(size)]
 
 
 def count(docs: DataFrame, name: str = PIECES, size: int = 65_536) -> DataFrame:
