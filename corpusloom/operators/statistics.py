@@ -11,21 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import storage
+from corpusloom.functions.textstats import NAMES
 from corpusloom.sources import corpus
 
 STRETCH = 4096
 REACH = 500
-NAMES = (
-    "h0", "h1", "h2", "h2_word", "h_initial", "h_final", "wlen_mean", "wlen_sd", *[f"wlen_{k}" for k in range(1, 11)], "zipf_slope",
-    "hapax_frac", "mattr500", "adjacent_same", "adjacent_edit1", "line_edit1", "recent_repeat_10", "recent_repeat_100",
-    "line_first_len_delta", "line_last_len_delta", "para_first_len_delta", "line_len_mean",
-)
 
 
-def positions(lines: DataFrame, group: str) -> DataFrame:
-    """`lines` with `at`, the position of a line's first token in its group's stream (pages in order)."""
+def positions(lines: DataFrame, group: str, bucket: Column | None = None) -> DataFrame:
+    """`lines` with `at`, the position of a line's first token in its group's stream (pages in order).
+
+    Pages are summed within buckets that follow their order, by default of 1024 numbers each, and the
+    buckets' sums over all.
+    """
     pages = lines.groupBy(group, "page_no").agg(F.sum("n_words").alias("n"))
-    pages = pages.withColumn("_bucket", F.expr("page_no div 1024"))
+    pages = pages.withColumn("_bucket", F.expr("page_no div 1024") if bucket is None else bucket)
     inside = Window.partitionBy(group, "_bucket").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     buckets = pages.groupBy(group, "_bucket").agg(F.sum("n").alias("_sum"))
     ahead = F.sum("_sum").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("_sum")
@@ -88,9 +88,9 @@ def fingerprint(spark: SparkSession, sf_dir: str, group: str = "stratum") -> Dat
     return values(corpus.lines(spark, sf_dir), group, pages)
 
 
-def values(corpus_lines: DataFrame, group: str, groups: DataFrame) -> DataFrame:
-    """The 30 values of each group of `groups`, from lines (group, page_no, line_no, words, n_words,
-    para_start): a group's stream is its pages in order."""
+def values(corpus_lines: DataFrame, group: str, groups: DataFrame, digits: int | None = 6) -> DataFrame:
+    """The 30 values of each group of `groups`, rounded to `digits`, from lines (group, page_no,
+    line_no, words, n_words, para_start): a group's stream is its pages in order."""
     lines = positions(corpus_lines, group)
     stream = storage.cut(lines.select(group, F.posexplode("words").alias("i", "w"), "at").select(group, (F.col("at") + F.col("i")).alias("pos"), "w"))
     types = storage.cut(stream.groupBy(group, "w").agg(F.count("*").alias("n")))
@@ -154,4 +154,5 @@ def values(corpus_lines: DataFrame, group: str, groups: DataFrame) -> DataFrame:
         joined = joined.join(part, group, "left")
     joined = joined.withColumn("line_first_len_delta", F.col("_first") - F.col("wlen_mean")).withColumn("line_last_len_delta", F.col("_last") - F.col("wlen_mean"))
     joined = joined.withColumn("para_first_len_delta", F.coalesce(F.col("_para") - F.col("wlen_mean"), F.lit(0.0)))
-    return joined.select(group, *[(F.round(F.coalesce(name, F.lit(0.0)), 6) + 0.0).alias(name) for name in NAMES])
+    shown = lambda x: x if digits is None else F.round(x, digits)
+    return joined.select(group, *[(shown(F.coalesce(name, F.lit(0.0))) + 0.0).alias(name) for name in NAMES])

@@ -1,161 +1,334 @@
-"""Parameter sweeps and resampled targets: simulations scored against a corpus's statistics."""
+"""Targets, parameter sweeps and their judgement, over whole corpora.
+
+A simulated or resampled corpus is a set of rows (run, page_no, line_no, words): pages are filled or
+drawn by tasks of their own, and the statistics of all runs are one relational query grouped by run.
+So a run may be as large as the corpus. Only the 30 values of each run come to the driver.
+
+Corpora bounded by a declared layout are handled inside a task: see functions.workunits, and
+run_units() for many units at once.
+"""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import json
 from collections.abc import Iterator
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import storage
+from corpusloom.functions import calibration, canonical, workunits
+from corpusloom.functions.calibration import Corpus, Target, TargetOptions
 from corpusloom.functions.random import Stream
-from corpusloom.operators import generators
+from corpusloom.functions.textstats import NAMES
+from corpusloom.functions.workunits import Grid, Refinement
+from corpusloom.operators import generators, statistics
 from corpusloom.sources import corpus
 
-STATISTICS = ("wlen_mean", "wlen_sd", "h_initial", "h_final", "adjacent_same", "hapax_frac", "line_len_mean")
-#: Scales of a target can't be smaller.
-FLOOR = 1e-6
-
-
-def _entropy(counts: Counter) -> float:
-    total = sum(counts.values())
-    return math.log2(total) - sum(n * math.log2(n) for n in counts.values()) / total if total else 0.0
-
-
-def measure(lines: list[list[str]]) -> list[float]:
-    """The statistics of a small corpus, by name as in STATISTICS; zeros if it has no words."""
-    words = [w for line in lines for w in line]
-    if not words:
-        return [0.0] * len(STATISTICS)
-    n, types = len(words), Counter(words)
-    mean = sum(map(len, words)) / n
-    sd = math.sqrt(max(0.0, sum(len(w) ** 2 for w in words) / n - mean * mean))
-    same = sum(a == b for a, b in zip(words, words[1:])) / max(n - 1, 1)
-    return [mean, sd, _entropy(Counter(w[0] for w in words)), _entropy(Counter(w[-1] for w in words)), same, sum(c == 1 for c in types.values()) / len(types), n / sum(map(bool, lines))]
-
-
-def grid(axes: dict[str, list]) -> list[dict]:
-    """Every point of the axes: names in order, the last one fastest."""
-    names = sorted(axes)
-    return [dict(zip(names, values)) for values in product(*(axes[n] for n in names))]
-
-
-def bootstrap(spark: SparkSession, lines: list[list[str]], resamples: int, block: int = 5) -> DataFrame:
-    """(resample, values): statistics of blocks of lines drawn with replacement, up to the corpus's
-    number of words. `lines` is a registered passage, bounded by its layout."""
-    blocks = [lines[k : k + block] for k in range(0, len(lines), block)]
-    total = sum(map(len, lines))
+LINE = ["page_no", "line_no", "words", "n_words", "para_start"]
+#: The registered grid, its replicates, and the resamples of its target.
+GRID = Grid("sweep-1", "selfcite", {"p_modify": [0.5, 0.85], "max_len": [6, 8]}, replicates=2, integers=["max_len"])
+RESAMPLES = 3
+
+
+def values_by(lines: DataFrame, group: str) -> dict:
+    """The 30 values of each group of lines, on the driver."""
+    found = statistics.values(lines, group, lines.select(group).distinct(), digits=None)
+    return {r[group]: [r[n] for n in NAMES] for r in found.collect()}
+
+
+def resampled(lines: DataFrame, resamples: int, seed: int = 1, fraction: float | None = None) -> DataFrame:
+    """`lines` of pages drawn anew, as (run, page_no, ...): with replacement until there are at least
+    as many words as in all, or without, in a random order, up to a fraction of the words.
+
+    A page is a block: its lines stay together, and its place in the draws is its new number.
+    """
+    spark = lines.sparkSession
+    sizes = lines.groupBy("page_no").agg(F.sum("n_words").cast("long").alias("words"))
+    sizes = storage.cut(statistics.positions(sizes.select(F.lit(0).alias("all"), "page_no", F.lit(0).alias("line_no"), F.lit(1).cast("long").alias("n_words"), "words"), "all").select("page_no", "words", F.col("at").alias("block")))
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    wanted = total if fraction is None else int(total * fraction)
+    factor = 1.3
+    while True:
+        if fraction is None:
+            draws = spark.range(int(n * factor) + 64).select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("run"), F.col("id").alias("i"))
+            drawn = draws.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "run", "i"), F.lit(max(n, 1)))).join(sizes, "block")
+        else:
+            drawn = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("run"))
+            # A random order: the rank of a hash, by the same running sums.
+            order = drawn.select("run", F.xxhash64(F.lit(seed), "run", "block").alias("page_no"), F.lit(0).alias("line_no"), F.lit(1).cast("long").alias("n_words"), "block", "words", F.col("page_no").alias("page"))
+            drawn = statistics.positions(order, "run", F.expr("shiftright(page_no, 44)")).select("run", "block", "words", F.col("page").alias("page_no"), F.col("at").alias("i"))
+        placed = drawn.select("run", F.col("i").alias("page_no"), F.lit(0).alias("line_no"), F.col("words").alias("n_words"), F.col("page_no").alias("page"))
+        placed = storage.cut(statistics.positions(placed, "run").where(F.col("at") < wanted).select("run", "page", F.col("page_no").alias("i"), "n_words"))
+        short = placed.groupBy("run").agg(F.sum("n_words").alias("w")).where(F.col("w") < wanted)
+        if fraction is not None or not n or short.isEmpty():
+            break
+        factor *= 2
+    own = lines.select(F.col("page_no").alias("page"), "line_no", "words", "n_words", "para_start")
+    return placed.drop("n_words").join(own, "page").select("run", F.col("i").alias("page_no"), "line_no", "words", "n_words", "para_start")
+
+
+def target(lines: DataFrame, options: TargetOptions = TargetOptions(RESAMPLES)) -> tuple[Target, list[list[float]]]:
+    """A target of a corpus of any size, and the values of its resamples."""
+    fraction = options.fraction if options.method == "subsample" else None
+    drawn = resampled(lines, options.resamples, options.seed, fraction)
+    runs = lines.select(F.lit(-1).alias("run"), *LINE).unionByName(drawn)
+    found = values_by(runs, "run")
+    mean = found.pop(-1, [0.0] * len(NAMES))
+    drawn = [found[k] for k in sorted(found)]
+    return calibration.target_of(mean, drawn, options), drawn
+
+
+def simulated(pages: DataFrame, family: str, points: list[dict], replicates: int, salt: str = "", resources: dict | None = None) -> DataFrame:
+    """`pages` (page_no, layout) filled for each point and replicate, as lines (run, page_no, ...):
+    run = point * replicates + seed. A page's stream is salted by its number and the parameters."""
+    for point in points:
+        generators.build(family, point, resources)
+    salts = [f"{salt}{canonical.identity({'family': family, 'params': point})}" for point in points]
+    table = pages.sparkSession.sparkContext.broadcast(resources)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fills = [generators.build(family, point, table.value) for point in points]
         for batch in batches:
-            out = []
-            for k in batch.column(0).to_pylist():
-                rng, drawn, words = Stream(b"bootstrap", k), [], 0
-                while blocks and words < total:
-                    drawn += blocks[rng.below(len(blocks))]
-                    words = sum(map(len, drawn))
-                out.append(measure(drawn))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["resample", "values"])
-
-    return spark.range(resamples).mapInArrow(rows, "resample bigint, values array<double>")
+            for run, page, layout in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                point, seed = divmod(run, replicates)
+                lines = fills[point](Stream(f"{salts[point]}/{page}".encode(), seed), layout)
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([run] * n, pa.int32()), pa.array([page] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lines, pa.list_(pa.string()))],
+                    ["run", "page_no", "line_no", "words"],
+                )
+
+    work = pages.select(F.explode(F.sequence(F.lit(0), F.lit(len(points) * replicates - 1))).alias("run"), "page_no", "layout")
+    # Little data, much work on each row: spread it over all tasks.
+    work = work.repartition(4 * pages.sparkSession.sparkContext.defaultParallelism, "run", "page_no")
+    made = work.mapInArrow(rows, "run int, page_no bigint, line_no int, words array<string>")
+    # Pages of the documents corpus are single paragraphs.
+    return made.withColumn("n_words", F.size("words")).withColumn("para_start", F.col("line_no") == 0)
+
+
+def ledger(pages: DataFrame, grid: Grid, against: Target) -> list[dict]:
+    """An entry for each point of the grid, by index: its replicates' values and distances."""
+    grid.validated()
+    found = values_by(storage.cut(simulated(pages, grid.family, grid.points(), grid.replicates, grid.experiment)), "run")
+    entries = []
+    for index, point in enumerate(grid.points()):
+        values = [found.get(index * grid.replicates + k, [0.0] * len(NAMES)) for k in range(grid.replicates)]
+        distances = [against.distance(v, grid.metric) for v in values]
+        entries.append({
+            "index": index, "params": point, "distances": distances, "fingerprints": values, "median": calibration.median(distances),
+            "mean": sum(distances) / len(distances), "min": min(distances), "max": max(distances), "specimen_seed": min(range(len(distances)), key=lambda k: (distances[k], k)),
+            "result_hash": canonical.result_hash([(k, v, d) for k, (v, d) in enumerate(zip(values, distances))]),
+        })
+    return entries
+
+
+def best(entries: list[dict]) -> dict:
+    return min(entries, key=lambda e: (e["median"], e["index"]))
+
+
+def refined(pages: DataFrame, grid: Grid, against: Target, levels: int, shrink: float = 0.5, last_replicates: int | None = None, epsilon: float | None = None) -> dict:
+    """A sweep, then finer ones around the best point of the last, until the levels are done or no
+    axis can move."""
+    if not 1 <= levels <= 16 or (epsilon is not None and last_replicates not in (None, grid.replicates)):
+        raise calibration.Invalid("1 to 16 levels; a threshold holds for its own number of replicates only")
+    refinement, found, reason = Refinement(grid.validated(), shrink), [], "level_budget_exhausted"
+    for level in range(levels):
+        if level + 1 == levels and last_replicates:
+            grid.replicates = last_replicates
+        entries = ledger(pages, grid, against)
+        top = best(entries)
+        found.append({
+            "level": level, "grid_digest": canonical.identity(grid.document()), "points": len(entries), "replicates": grid.replicates, "best_index": top["index"], "best_params": top["params"],
+            "best_median": top["median"], "compatible": [e["params"] for e in entries if epsilon is not None and e["median"] <= epsilon], "steps": refinement.steps(),
+        })
+        if level + 1 < levels:
+            finer = refinement.next(grid, top["params"])
+            if finer is None:
+                reason = "no_axis_can_move"
+                break
+            grid = finer
+    return {"levels": found, "stop_reason": reason, "simulations": sum(x["points"] * x["replicates"] for x in found)}
+
+
+def run_units(spark: SparkSession, units: list[dict], against: Target, layout, resources: dict | None = None) -> DataFrame:
+    """Work units over one declared layout, a row for each (unit, seed): (unit, seed, distance,
+    fingerprint). The artifacts are bounded by the units' own limits and sent to the tasks once."""
+    for unit in units:
+        workunits.validate(unit, against, layout, resources)
+    shared = spark.sparkContext.broadcast((units, against, layout, resources))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, against, layout, resources = shared.value
+        for batch in batches:
+            found = [workunits.seed_result(units[u], against, layout, s, resources) for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x["distance"] for x in found], pa.float64()), pa.array([x["fingerprint"] for x in found], pa.list_(pa.float64()))],
+                ["unit", "seed", "distance", "fingerprint"],
+            )
 
-def target(resampled: DataFrame) -> DataFrame:
-    """(statistic, mean, scale) over resamples; a scale is at least FLOOR."""
-    long = resampled.select("resample", F.posexplode("values").alias("k", "x"))
-    names = F.array(*map(F.lit, STATISTICS))
-    return long.groupBy("k").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(FLOOR)).alias("scale")).select(names[F.col("k")].alias("statistic"), "mean", "scale")
+    work = [(k, s) for k, unit in enumerate(units) for s in range(unit["seed_start"], unit["seed_start"] + unit["seed_count"])]
+    tasks = min(len(work), 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame(work, "unit bigint, seed bigint").repartition(max(1, tasks)).mapInArrow(rows, "unit bigint, seed bigint, distance double, fingerprint array<double>")
 
 
-def distance(values: list[float], mean: list[float], scale: list[float]) -> float:
-    """Root mean square of the values in units of the target."""
-    return math.sqrt(sum(((v - m) / s) ** 2 for v, m, s in zip(values, mean, scale)) / len(values))
+def replicates(results: DataFrame) -> DataFrame:
+    """Each unit's replicates: n, median, mean, least and most distance, and the nearest seed."""
+    return results.groupBy("unit").agg(
+        F.count("*").alias("n"), F.median("distance").alias("median"), F.avg("distance").alias("mean"), F.min("distance").alias("low"), F.max("distance").alias("high"),
+        F.min_by("seed", F.struct("distance", "seed")).alias("specimen_seed"),
+    )
 
 
-def sweep(spark: SparkSession, family: str, points: list[dict], seeds: int, layout: list[int], mean: list[float], scale: list[float]) -> DataFrame:
-    """The ledger: (point, seed, distance), a simulation for each."""
-    make = generators.FAMILIES[family]
+def calibrated(pages: DataFrame, grid: Grid, hidden: dict, self_pool: list[float], against: Target, controls: tuple[str, ...] = ("gibberish", "slotgram"), level: float = 0.5) -> dict:
+    """The report on a grid that should find a hidden point: rules A, B and C for every point, for
+    the point nearest to the hidden one, and for control families."""
+    pool = sorted(self_pool)
+    epsilon, n = calibration.quantile(pool, 0.99), grid.replicates
+    middle = calibration.subset_median_quantile(self_pool, n)
+
+    def judged(entry: dict) -> dict:
+        return {
+            "index": entry.get("index"), "params": entry.get("params"), "rule_a": calibration.acceptance(entry["distances"], epsilon, level),
+            "rule_b": calibration.centroid_test(entry["fingerprints"], against.mean, against.scale), "rule_c": {"median": entry["median"], "compatible": entry["median"] <= middle},
+        }
+
+    entries = ledger(pages, grid, against)
+    found = [judged(e) for e in entries]
+    others = {}
+    for family in controls:
+        found_ = values_by(storage.cut(simulated(pages, family, [{}], n, grid.experiment)), "run")
+        distances = [against.distance(found_[k]) for k in sorted(found_)]
+        others[family] = judged({"distances": distances, "fingerprints": [found_[k] for k in sorted(found_)], "median": calibration.median(distances)})
+    near = grid.nearest(hidden)
+    return {"epsilon": epsilon, "epsilon_median": middle, "points": found, "hidden_point": None if near is None else found[near], "best_index": best(entries)["index"], "controls": others}
+
+
+def conditional_ranks(pages: DataFrame, family: str, params: dict, options: TargetOptions, references: int = 2, targets: int = 19, seed: int = 1, most_words: int = 200_000, most_lines: int = 20_000) -> DataFrame:
+    """`pages` (page_no, lines: array of lines) as (page_no, score, p): each page is an observation of
+    its own, scored by the median distance of the references to a target built from it, and ranked
+    among fresh corpora of the family that are scored the same way, their targets built anew.
+
+    Pages beyond the test's declared bounds of lines and words have nulls.
+    """
+    generators.build(family, params)
+    salt = canonical.identity({"family": family, "params": params, "resamples": options.resamples, "references": references, "targets": targets})
+
+    def ranked(page: int, lines: list[list[str]]) -> tuple:
+        if not lines or len(lines) > most_lines or sum(map(len, lines)) > most_words:
+            return page, None, None
+        make, layout = generators.build(family, params), [len(ws) for ws in lines]
+        built = lambda ws: Corpus.of(ws, {0}, {len(ws) - 1})
+        rng = Stream(f"conditional/reference/{salt}/{page}".encode(), seed)
+        known = [built(make(rng, layout)).values() for _ in range(references)]
+        score = lambda c: calibration.median([t.distance(v) for t in [calibration.conditional_target(c, options)] for v in known])
+        rng = Stream(f"conditional/targets/{salt}/{page}".encode(), seed)
+        own = score(built(lines))
+        return page, own, calibration.upper_rank(own, [score(built(make(rng, layout))) for _ in range(targets)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k in batch.column(0).to_pylist():
-                point, seed = divmod(k, seeds)
-                lines = make(Stream(f"{family}:sweep".encode(), seed), layout, points[point], None)
-                out.append((point, seed, distance(measure(lines), mean, scale)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["point", "seed", "distance"])
-
-    return spark.range(len(points) * seeds).mapInArrow(rows, "point bigint, seed bigint, distance double")
+            out = [ranked(p, ws) for p, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64()))], ["page_no", "score", "p"])
 
-
-def summary(ledger: DataFrame) -> DataFrame:
-    """Each point's replicates: n, median, mean, least and most distance, and its best seed."""
-    return ledger.groupBy("point").agg(
-        F.count("*").alias("n"), F.median("distance").alias("median"), F.avg("distance").alias("mean"), F.min("distance").alias("low"), F.max("distance").alias("high"),
-        F.min_by("seed", F.struct("distance", "seed")).alias("best_seed"),
-    )
+    work = pages.select("page_no", "lines").repartition(8 * pages.sparkSession.sparkContext.defaultParallelism, "page_no")
+    return work.mapInArrow(rows, "page_no bigint, score double, p double")
 
 
-#: The registered grid.
-AXES = {"p_modify": [0.5, 0.7, 0.85, 1.0], "window_lines": [2, 4], "max_len": [6, 8, 10]}
+# Registered queries ----------------------------------------------------------------------------
 
 
-def _passage(spark: SparkSession, sf_dir: str, lines: int = 60) -> list[list[str]]:
-    rows = corpus.lines(spark, sf_dir).orderBy("page_no", "line_no").limit(lines).select("words").collect()
-    return [r["words"] for r in rows]
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.lines(spark, sf_dir).select(*LINE)
 
 
 def bootstrap_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target(bootstrap(spark, _passage(spark, sf_dir), 100))
+    """(statistic, mean, scale) of the whole corpus."""
+    found, _ = target(_corpus(spark, sf_dir))
+    return spark.createDataFrame(list(zip(NAMES, found.mean, found.scale)), "statistic string, mean double, scale double")
 
 
-def _registered_sweep(spark: SparkSession, sf_dir: str, points: list[dict]) -> DataFrame:
-    passage = _passage(spark, sf_dir)
-    known = {r["statistic"]: r for r in target(bootstrap(spark, passage, 100)).collect()}
-    mean, scale = ([known[n][c] if n in known else d for n in STATISTICS] for c, d in (("mean", 0.0), ("scale", 1.0)))
-    return sweep(spark, "selfcite", points, 4, [len(x) for x in passage], mean, scale)
+def _swept(spark: SparkSession, sf_dir: str) -> list[dict]:
+    lines = _corpus(spark, sf_dir)
+    against, _ = target(lines)
+    return ledger(generators.layouts(lines), GRID, against)
 
 
 def sweep_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _registered_sweep(spark, sf_dir, grid(AXES))
-
-
-def refine(spark: SparkSession, sf_dir: str, levels: int = 2) -> DataFrame:
-    """The coarse sweep's five best points, then grids of half the step around the best, level by
-    level: (level, p_modify, median)."""
-    points, found = grid(AXES), None
-    step = 0.15
-    for level in range(levels):
-        known = spark.createDataFrame([(k, float(p["p_modify"])) for k, p in enumerate(points)], "point bigint, p_modify double")
-        best = summary(_registered_sweep(spark, sf_dir, points)).join(F.broadcast(known), "point").orderBy("median", "point").limit(5)
-        rows = best.select(F.lit(level).alias("level"), "point", "p_modify", "median").collect()
-        found = rows if found is None else found + rows
-        base, step = points[rows[0]["point"]], step / 2
-        near = sorted({round(min(1.0, max(0.0, base["p_modify"] + d * step)), 10) for d in (-1, 0, 1)})
-        points = grid({"p_modify": near, "window_lines": [base["window_lines"]], "max_len": [base["max_len"]]})
-    return spark.createDataFrame([(r["level"], r["p_modify"], r["median"]) for r in found], "level int, p_modify double, median double")
-
-
-def conditional_rank_test(spark: SparkSession, sf_dir: str, references: int = 8, draws: int = 24) -> DataFrame:
-    """(observed, p): the rank of the passage's distance among fresh corpora of the family, each
-    scored against a target rebuilt from the references. The line length has no weight: it is given
-    by the layout."""
-    passage = _passage(spark, sf_dir)
-    layout = [len(x) for x in passage]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k in batch.column(0).to_pylist():
-                made = [measure(generators.selfcite(Stream(b"rank", k * (references + 1) + j), layout, {}, None))[:-1] for j in range(references + 1)]
-                mean = [sum(c) / references for c in zip(*made[1:])]
-                scale = [max(FLOOR, math.sqrt(sum((x - m) ** 2 for x in c) / references)) for c, m in zip(zip(*made[1:]), mean)]
-                out.append((distance(measure(passage)[:-1], mean, scale), distance(made[0], mean, scale)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*out)], ["observed", "simulated"])
-
-    scored = spark.range(draws).mapInArrow(rows, "observed double, simulated double")
-    above = F.sum((F.col("simulated") >= F.col("observed")).cast("int"))
-    return scored.agg(F.avg("observed").alias("observed"), ((1 + above) / (F.count("*") + 1)).alias("p"))
+    """(point, params, seed, distance): a simulation of the whole corpus for each."""
+    rows = [(e["index"], canonical.dumps(e["params"]), k, d) for e in _swept(spark, sf_dir) for k, d in enumerate(e["distances"])]
+    return spark.createDataFrame(rows, "point bigint, params string, seed bigint, distance double")
+
+
+def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(e["index"], e["median"], e["mean"], e["min"], e["max"], e["specimen_seed"]) for e in _swept(spark, sf_dir)]
+    return spark.createDataFrame(rows, "point bigint, median double, mean double, low double, high double, best_seed bigint")
+
+
+def refine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _corpus(spark, sf_dir)
+    against, _ = target(lines)
+    grid = Grid(GRID.experiment, GRID.family, GRID.axes, replicates=1, integers=GRID.integers)
+    report = refined(generators.layouts(lines), grid, against, 2)
+    rows = [(x["level"], x["points"], canonical.dumps(x["best_params"]), x["best_median"]) for x in report["levels"]]
+    return spark.createDataFrame(rows, "level int, points int, best_params string, best_median double")
+
+
+def self_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the distances of the corpus's own resamples."""
+    found, drawn = target(_corpus(spark, sf_dir), TargetOptions(2 * RESAMPLES))
+    spread = calibration.spread([found.distance(v) for v in drawn])
+    return spark.createDataFrame([(k, float(v)) for k, v in spread.items()], "quantile string, distance double")
+
+
+def calibrate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(point, rule, compatible or p): the grid's points, then the controls, judged by the three rules."""
+    lines = _corpus(spark, sf_dir)
+    against, drawn = target(lines)
+    report = calibrated(generators.layouts(lines), GRID, {"p_modify": 0.85, "max_len": 8}, [against.distance(v) for v in drawn], against)
+    rows = []
+    for name, x in [*((f"point {x['index']}", x) for x in report["points"]), *report["controls"].items()]:
+        rows += [(name, "a", float(x["rule_a"]["lower"]), x["rule_a"]["compatible"]), (name, "b", float(x["rule_b"]["p_value"]), None), (name, "c", float(x["rule_c"]["median"]), x["rule_c"]["compatible"])]
+    return spark.createDataFrame(rows, "what string, rule string, value double, compatible boolean")
+
+
+def compare_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(what, distance) to the corpus's own target: the whole, each stratum, and each family."""
+    lines = corpus.lines(spark, sf_dir)
+    against, _ = target(lines.select(*LINE))
+    pages = generators.layouts(lines)
+    parts = [lines.select(F.lit("corpus").alias("what"), *LINE), lines.select(F.concat(F.lit("stratum "), "stratum").alias("what"), *LINE)]
+    for family in ("gibberish", "charmarkov", "selfcite", "slotgram"):
+        resources = {"glyph_model": generators.glyph_table(generators.glyph_model(lines), 3)} if family == "charmarkov" else None
+        parts.append(storage.cut(simulated(pages, family, [{}], 1, "compare", resources)).select(F.lit(f"family {family}").alias("what"), *LINE))
+    bag = generators.drawn_pages(pages, 1, storage.cut(generators.word_bag(corpus.tokens(spark, sf_dir))), "compare")
+    bag = storage.cut(bag).withColumn("n_words", F.size("words")).withColumn("para_start", F.col("line_no") == 0)
+    parts.append(bag.select(F.lit("family bagofwords").alias("what"), *LINE))
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    rows = [(what, against.distance(values)) for what, values in sorted(values_by(together, "what").items())]
+    return spark.createDataFrame(rows, "what string, distance double")
+
+
+def conditional_rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_no, score, p) of every page under the default citing family."""
+    lines = corpus.lines(spark, sf_dir)
+    pages = lines.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "words"))).alias("x")).select("page_no", F.transform("x", lambda x: x["words"]).alias("lines"))
+    return conditional_ranks(pages, "gibberish", {"len_n": 8}, TargetOptions(2, 91))
+
+
+QUERIES = {f.__name__: f for f in (bootstrap_scale, sweep_ledger, sweep_summary, refine_levels, self_distance, calibrate_report, compare_targets, conditional_rank_test)}
+
+
+def write_ledger(spark: SparkSession, path: str, header: dict, entries: list[dict]) -> None:
+    """A ledger as JSON lines, header first, at a path that Spark can write."""
+    rows = [(k, line) for k, line in enumerate(workunits.ledger_lines(header, entries))]
+    spark.createDataFrame(rows, "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> tuple[dict, list[dict]]:
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    header = [x for x in lines if "ledger" in json.loads(x)]
+    return workunits.read_ledger(header + [x for x in lines if x not in header])

@@ -1,7 +1,7 @@
 """Registered queries and their SQL equivalents."""
 
 from corpusloom.operators import distances, generators, search, statistics, sweeps
-from corpusloom.sources import corpus
+from corpusloom.sources import corpus, transliteration
 from corpusloom.streaming import credit
 
 from . import fingerprint_sql, shared
@@ -19,10 +19,7 @@ QUERIES |= {f"gen_{family}": generators.registered(family) for family in generat
 QUERIES |= {"anneal_search": search.anneal_search, "beam_search": search.beam_search}
 QUERIES |= {"stream_credit": credit.stream_credit, "stream_rate_limit": credit.stream_rate_limit, "z_distance_by_label": distances.z_distance}
 ORACLE_SQL |= {**credit.ORACLE_SQL, "z_distance_by_label": distances.SQL}
-QUERIES |= {
-    "bootstrap_scale": sweeps.bootstrap_scale,
-    "sweep_ledger": sweeps.sweep_ledger,
-    "sweep_summary": lambda spark, sf_dir: sweeps.summary(sweeps.sweep_ledger(spark, sf_dir)),
-    "refine_levels": sweeps.refine,
-    "conditional_rank_test": sweeps.conditional_rank_test,
-}
+QUERIES |= sweeps.QUERIES
+
+QUERIES["transliteration_view"] = transliteration.transliteration_view
+ORACLE_SQL["transliteration_view"] = shared.oracle(transliteration.SQL)

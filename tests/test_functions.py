@@ -40,9 +40,9 @@ def test_canonical_json():
 
 @pytest.mark.parametrize("family", ["gibberish", "selfcite", "slotgram"])
 def test_generators_fill_the_layout(family):
-    make = generators.FAMILIES[family]
-    lines = make(Stream(b"x", 1), [3, 0, 5], {}, None)
-    assert [len(x) for x in lines] == [3, 0, 5] and lines == make(Stream(b"x", 1), [3, 0, 5], {}, None)
+    make = generators.build(family)
+    lines = make(Stream(b"x", 1), [3, 0, 5])
+    assert [len(x) for x in lines] == [3, 0, 5] and lines == make(Stream(b"x", 1), [3, 0, 5])
     assert all(w for line in lines for w in line)
 
 
