@@ -60,6 +60,12 @@ def line_fails(line: Column, chars: Column | None = None) -> Column:
     return punctuation | navigation | boilerplate
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once: the optimizer may copy what a lambda function refers
+    to into it, to be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def judged(text: Column) -> Column:
     """Every line of a text once: the line, its code points outside white space, whether it fails.
     Blank lines have no such code points and don't fail."""
@@ -78,16 +84,21 @@ def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     d = d.withColumn("word_chars", _chars(text).cast("long"))
     d = d.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     # A window is hashed word by word, so that words of different lengths can't be confused.
     last = F.col("n_words").cast("int") - (WINDOW - 1)
-    windows = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW))))
+    hashes = F.transform("_words", lambda w: F.xxhash64(w))
+    windows = F.when(last > 0, bound(hashes, lambda hs: F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(hs, i, WINDOW)))))
     d = d.withColumn("_windows", F.coalesce(windows, F.array().cast("array<bigint>")))
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
     d = d.withColumn("_sorted", F.when(again, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    end = F.size("_sorted") - 1
-    twin = lambda x, i: ((i > 0) & (F.col("_sorted")[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | ((i < end) & (F.col("_sorted")[F.least(i + 1, end)]["h"] == x["h"]))
-    d = d.withColumn("_at", F.array_sort(F.transform(F.filter("_sorted", twin), lambda x: x["i"])))
+
+
+    def twins(xs: Column) -> Column:
+        end = F.size(xs) - 1
+        twin = lambda x, i: ((i > 0) & (xs[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | ((i < end) & (xs[F.least(i + 1, end)]["h"] == x["h"]))
+        return F.filter(xs, twin)
+
+    d = d.withColumn("_at", F.array_sort(F.transform(bound(F.col("_sorted"), twins), lambda x: x["i"])))
     # Each repeated window adds the words that the one before it doesn't cover.
     ends = F.zip_with("_at", F.slice("_at", F.lit(2), F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     d = d.withColumn("n_repeat_words", F.coalesce(F.aggregate(ends, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"))
@@ -97,7 +108,7 @@ def measure(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= (1 - most_lost) * F.col("word_chars")))
     passing = F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
     d = d.withColumn("clean_text", F.when(F.col("n_failing_lines") > 0, passing).otherwise(F.col("text")))
-    return d.drop("_words", "_hashes", "_lines", "_judged", "_failing", "_windows", "_sorted", "_at")
+    return d.drop("_words", "_lines", "_judged", "_failing", "_windows", "_sorted", "_at")
 
 
 def clean(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
