@@ -75,10 +75,14 @@ def near_words(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("_changed", F.array_sort(every("changed")))
     lines = lines.withColumn("_alike", F.array_distinct(twice(F.col("_changed"))))
     lines = lines.withColumn("_less", F.array_intersect(F.transform("_keys", lambda x: x["own"]), every("shorter")))
-    hit = lambda x: F.arrays_overlap(x["changed"], "_alike") | F.array_contains("_less", x["own"]) | F.arrays_overlap(x["shorter"], "_less")
-    found = F.transform(F.filter("_keys", hit), lambda x: x["w"])
+    # What a lambda function refers to is bound to a variable of its own, or it might be computed for
+    # each element.
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    hit = lambda x, b: F.arrays_overlap(x["changed"], b["alike"]) | F.array_contains(b["less"], x["own"]) | F.arrays_overlap(x["shorter"], b["less"])
+    both = F.struct(F.col("_alike").alias("alike"), F.col("_less").alias("less"))
+    found = F.transform(bound(both, lambda b: F.filter("_keys", lambda x: hit(x, b))), lambda x: x["w"])
     lines = lines.withColumn("_hits", F.array_union(found, twice(F.col("_sorted"))))
-    near = F.size(F.filter("words", lambda w: F.array_contains("_hits", w)))
+    near = F.size(bound(F.col("_hits"), lambda hits: F.filter("words", lambda w: F.array_contains(hits, w))))
     return lines.withColumn("near", near).drop("_keys", "_sorted", "_changed", "_alike", "_less", "_hits")
 
 
