@@ -1,10 +1,10 @@
 """Registered queries and their SQL equivalents."""
 
-from corpusloom.operators import distances, generators, search, statistics, sweeps
+from corpusloom.operators import candidates, distances, generators, search, statistics, sweeps
 from corpusloom.sources import corpus, transliteration
 from corpusloom.streaming import credit
 
-from . import fingerprint_sql, shared
+from . import coordinator, fingerprint_sql, shared
 
 QUERIES: dict = {"fingerprint_v1": statistics.fingerprint}
 ORACLE_SQL: dict = {"fingerprint_v1": fingerprint_sql.sql(corpus.SQL, statistics.NAMES)}
@@ -16,10 +16,13 @@ QUERIES |= {name: shared.query(text) for name, (text, _) in shared.SEARCH.items(
 ORACLE_SQL |= {name: shared.oracle(text) for name, (_, text) in shared.SEARCH.items()}
 
 QUERIES |= {f"gen_{family}": generators.registered(family) for family in generators.FAMILIES}
-QUERIES |= {"anneal_search": search.anneal_search, "beam_search": search.beam_search}
-QUERIES |= {"stream_credit": credit.stream_credit, "stream_rate_limit": credit.stream_rate_limit, "z_distance_by_label": distances.z_distance}
-ORACLE_SQL |= {**credit.ORACLE_SQL, "z_distance_by_label": distances.SQL}
+QUERIES |= search.QUERIES
+QUERIES |= credit.QUERIES | coordinator.QUERIES | {"z_distance_by_label": distances.z_distance}
+ORACLE_SQL |= {**credit.ORACLE_SQL, **coordinator.ORACLE_SQL, "z_distance_by_label": distances.SQL}
 QUERIES |= sweeps.QUERIES
 
 QUERIES["transliteration_view"] = transliteration.transliteration_view
 ORACLE_SQL["transliteration_view"] = shared.oracle(transliteration.SQL)
+
+QUERIES |= candidates.QUERIES
+ORACLE_SQL |= candidates.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from corpusloom.sources import corpus, ledger
 
@@ -34,7 +35,7 @@ def oracle(text: str) -> str:
 SLOTS = "^(th|st|wh)?(e|a|o|i)?(r|n|s|l)?(t|d|ing|ed|tion)?(e|a|y)?(s|n|r)?$"
 
 CORPUS = {
-    "corpus_totals": "SELECT count(DISTINCT page_no) AS pages, count(DISTINCT page_no * 100000 + line_no) AS lines, count(*) AS words, CAST(sum(length(w)) AS BIGINT) AS glyphs FROM {tokens}",
+    "corpus_totals": "SELECT count(DISTINCT page_no) AS pages, (SELECT count(*) FROM {lines}) AS lines, count(*) AS words, CAST(sum(length(w)) AS BIGINT) AS glyphs FROM {tokens}",
     "token_frequency_topk": "SELECT w, count(*) AS n FROM {tokens} GROUP BY w ORDER BY n DESC, w LIMIT 500",
     "word_bag": "SELECT w, count(*) AS n FROM {tokens} GROUP BY w",
     "hapax_fraction": "SELECT stratum, round(avg(CASE WHEN n = 1 THEN 1.0D ELSE 0.0D END), 6) AS hapax FROM (SELECT stratum, w, count(*) AS n FROM {tokens} GROUP BY stratum, w) GROUP BY stratum",
@@ -59,8 +60,6 @@ CORPUS = {
     "stratum_filter": "SELECT page_no, dense_rank() OVER (PARTITION BY quire ORDER BY page_no) AS page_index, line_no, n_words FROM {lines} WHERE stratum = 'fr'",
     "locus_filter": "SELECT page_no, line_no, n_words FROM {lines} WHERE para_start OR para_end",
     "rare_word_drop": "SELECT page_no, line_no, count(*) AS kept FROM {tokens} WHERE w NOT LIKE '%q%' AND w NOT LIKE '%x%' GROUP BY page_no, line_no",
-    "partition_filter": """WITH m AS (SELECT quire, CAST(sum(n_words) AS BIGINT) AS words FROM {lines} GROUP BY quire), r AS (SELECT quire, row_number() OVER (ORDER BY words DESC, quire) AS k FROM m)
-        SELECT l.page_no, l.line_no, l.n_words FROM {lines} l WHERE EXISTS (SELECT 1 FROM r WHERE r.quire = l.quire AND r.k % 3 = 1)""",
     "quire_role_totals": """SELECT quire, CAST(sum(n_words) AS BIGINT) AS words, CAST(sum(CASE WHEN stratum = 'en' THEN n_words ELSE 0 END) AS BIGINT) AS words_a, CAST(sum(CASE WHEN stratum = 'fr' THEN n_words ELSE 0 END) AS BIGINT) AS words_b,
         CAST(sum(CASE WHEN stratum NOT IN ('en', 'fr') THEN n_words ELSE 0 END) AS BIGINT) AS words_other FROM {lines} GROUP BY quire""",
     "slot_conformance": f"SELECT stratum, round(avg(CASE WHEN regexp_like(w, '{SLOTS}') THEN 1.0D ELSE 0.0D END), 6) AS share FROM {{tokens}} GROUP BY stratum",
@@ -72,18 +71,16 @@ CORPUS = {
     "line_initial_entropy": """WITH c AS (SELECT i = 0 AS first, substr(w, 1, 1) AS g, count(*) AS n FROM {tokens} GROUP BY i = 0, substr(w, 1, 1))
         SELECT first, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS h FROM c GROUP BY first""",
     "line_initial_js": """WITH c AS (SELECT substr(w, 1, 1) AS g, CAST(sum(CASE WHEN i = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN i > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS b FROM {tokens} GROUP BY substr(w, 1, 1)),
-        t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c), p AS (SELECT a / ta AS p, b / tb AS q FROM c CROSS JOIN t)
-        SELECT round(0.5D * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5D * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 6) AS js FROM p""",
+        t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c), p AS (SELECT a / ta AS p, b / tb AS q FROM c CROSS JOIN t WHERE ta > 0 AND tb > 0)
+        SELECT coalesce(round(0.5D * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5D * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 6), 0.0D) AS js FROM p""",
     "line_final_js": """WITH c AS (SELECT right(w, 1) AS g, CAST(sum(CASE WHEN i = n_words - 1 THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN i < n_words - 1 THEN 1 ELSE 0 END) AS DOUBLE) AS b FROM {tokens} GROUP BY right(w, 1)),
-        t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c), p AS (SELECT a / ta AS p, b / tb AS q FROM c CROSS JOIN t)
-        SELECT round(0.5D * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5D * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 6) AS js FROM p""",
+        t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c), p AS (SELECT a / ta AS p, b / tb AS q FROM c CROSS JOIN t WHERE ta > 0 AND tb > 0)
+        SELECT coalesce(round(0.5D * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5D * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 6), 0.0D) AS js FROM p""",
     "corpus_differences": "SELECT w FROM {tokens} WHERE stratum = 'en' EXCEPT SELECT w FROM {tokens} WHERE stratum <> 'en'",
     "corpus_shared_words": "SELECT w FROM {tokens} WHERE stratum = 'en' INTERSECT SELECT w FROM {tokens} WHERE stratum = 'fr'",
     "decimal_literals": "SELECT count(*) AS n FROM {events} WHERE regexp_like(CAST(user_id AS VARCHAR(20)), '^-?(0|[1-9][0-9]*)([.][0-9]+)?$')",
-    "rlength_digest": "SELECT page_no, line_no, concat('sha256:', {sha}) AS digest FROM {lines}",
     "page_turns": "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, length(text) AS n FROM {conversations}",
 }
-del CORPUS["rlength_digest"]
 
 INFERENCE = {
     "quantiles": "SELECT algorithm, control, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY score), 6) AS median, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY score), 6) AS q99 FROM {runs} GROUP BY algorithm, control",
@@ -101,10 +98,11 @@ INFERENCE = {
     "acceptance_rule_a": """WITH e AS (SELECT percentile_cont(0.99) WITHIN GROUP (ORDER BY score) AS eps FROM {runs} WHERE control = 'O'), c AS (SELECT algorithm, case_id, max(score) AS d FROM {runs} WHERE control = 'F' GROUP BY algorithm, case_id),
         k AS (SELECT algorithm, CAST(sum(CASE WHEN d <= eps THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM c CROSS JOIN e GROUP BY algorithm), p AS (SELECT *, k / n AS p, 1.959963984540054D AS z FROM k)
         SELECT algorithm, round(p, 6) AS share, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) > 0.5D AS recovered FROM p""",
-    "rank_p_value": """WITH o AS (SELECT case_id, max(score) AS s FROM {runs} GROUP BY case_id), r AS (SELECT score FROM {runs} WHERE algorithm = 'A' AND start = 1),
-        g AS (SELECT score, count(*) AS n FROM r GROUP BY score), t AS (SELECT s, count(*) AS m FROM o GROUP BY s), u AS (SELECT s AS v, 0 AS n FROM t UNION ALL SELECT score, n FROM g),
-        x AS (SELECT v, sum(sum(n)) OVER (ORDER BY v DESC) AS above, (SELECT count(*) FROM r) AS b FROM u GROUP BY v)
-        SELECT o.case_id, round((1 + x.above) / CAST(x.b + 1 AS DOUBLE), 6) AS p FROM o JOIN x ON o.s = x.v""",
+    # Scores are counted in blocks, so no window holds them all.
+    "rank_p_value": """WITH o AS (SELECT case_id, max(score) AS s FROM {runs} GROUP BY case_id), g AS (SELECT score, count(*) AS n FROM {runs} WHERE control = 'O' GROUP BY score),
+        ins AS (SELECT v, floor(v / 100000) AS block, sum(n) AS n FROM (SELECT score AS v, n FROM g UNION ALL SELECT DISTINCT s, 0 FROM o) GROUP BY v), bs AS (SELECT block, sum(n) AS n FROM ins GROUP BY block),
+        ba AS (SELECT block, sum(n) OVER (ORDER BY block DESC) - n AS above, sum(n) OVER () AS b FROM bs), w AS (SELECT block, v, sum(n) OVER (PARTITION BY block ORDER BY v DESC) AS inside FROM ins)
+        SELECT o.case_id, round((1 + w.inside + ba.above) / CAST(ba.b + 1 AS DOUBLE), 6) AS p FROM o JOIN w ON o.s = w.v JOIN ba ON ba.block = w.block""",
     "centroid_rule_b": """WITH m AS (SELECT case_id, score, sum(score) OVER (PARTITION BY case_id) AS s, count(*) OVER (PARTITION BY case_id) AS n FROM {runs}) SELECT case_id, round(avg(abs(score - (s - score) / CAST(n - 1 AS DOUBLE))), 4) AS loo FROM m WHERE n > 1 GROUP BY case_id""",
     "outcome_transitions": """WITH f AS (SELECT case_id, start, CASE WHEN score >= 5000000 THEN 'exact' WHEN score >= 2000000 THEN 'wrong' ELSE 'unavailable' END AS outcome FROM {runs}), t AS (SELECT outcome, lead(outcome) OVER (PARTITION BY case_id ORDER BY start) AS after_ FROM f)
         SELECT outcome, after_, count(*) AS n FROM t WHERE after_ IS NOT NULL GROUP BY outcome, after_""",
@@ -116,7 +114,6 @@ INFERENCE = {
 }
 
 LEDGER = {
-    "guest_valid": "SELECT id FROM {guests} WHERE NOT blocked",
     "contributions": """SELECT g.id, count(a.id) AS checked, round(coalesce(sum(a.amount), 0), 4) AS credit, CAST(sum(CASE WHEN a.state = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS pending FROM {guests} g LEFT JOIN {attempts} a ON a.guest_id = g.id GROUP BY g.id""",
     "queue_status": "SELECT state, count(*) AS n FROM {units} GROUP BY state",
     "request_counter": "SELECT substr(CAST(o_orderdate AS VARCHAR(30)), 1, 7) AS month, count(*) AS n FROM {orders} GROUP BY substr(CAST(o_orderdate AS VARCHAR(30)), 1, 7)",
@@ -131,7 +128,6 @@ LEDGER = {
     "campaign_complete": "SELECT guest_id, count(*) AS units, min(CASE WHEN state = 'F' THEN 1 ELSE 0 END) = 1 AS complete FROM {units} GROUP BY guest_id",
     "delivery_exhausted": """SELECT unit_id, count(*) AS tried FROM {attempts} GROUP BY unit_id HAVING count(*) >= 50 AND sum(CASE WHEN state = 'purchase' THEN 1 ELSE 0 END) < 40""",
     "next_pending": "SELECT unit_id, min(moment) AS oldest FROM {attempts} WHERE state = 'click' GROUP BY unit_id ORDER BY oldest, unit_id LIMIT 1",
-    "monthly_budget": "SELECT moment - moment % 2592000 AS window_start, count(*) AS assignments, count(*) * 30000 <= 1000000000 AS funded FROM {attempts} GROUP BY moment - moment % 2592000",
     "people_leaderboard": "SELECT g.id, round(coalesce(sum(a.amount), 0), 4) AS credit FROM {guests} g LEFT JOIN {attempts} a ON a.guest_id = g.id AND a.state = 'purchase' GROUP BY g.id ORDER BY credit DESC, g.id LIMIT 100",
     "team_leaderboard": """SELECT n.n_nationkey AS team, count(DISTINCT g.id) AS members, round(coalesce(sum(a.amount), 0), 4) AS credit FROM {nation} n LEFT JOIN {guests} g ON g.team = n.n_nationkey AND NOT g.blocked LEFT JOIN {attempts} a ON a.guest_id = g.id
         GROUP BY n.n_nationkey ORDER BY credit DESC, team LIMIT 100""",
@@ -154,7 +150,25 @@ TEXTS = CORPUS | INFERENCE | LEDGER
 
 #: Letters of the recovery alphabet after folding, and what folds into what. Fixed values.
 LETTERS = "abcdefghilmnopqrstuvxyz"
-FOLDED = "regexp_replace(replace(replace(replace(lower({text}), 'j', 'i'), 'k', 'c'), 'w', 'uu'), '[^abcdefghilmnopqrstuvxyz]', ''{g})"
+REPLACED = {"æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ł": "l", "ß": "ss", "ø": "o", "w": "uu", "j": "i", "k": "c"}
+
+
+def _accents() -> tuple[str, str]:
+    """The letters that decompose into one of the alphabet's and marks, and what is left of them."""
+    found = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = unicodedata.normalize("NFD", chr(code))
+        if len(plain) > 1 and plain[0].isascii() and plain[0].isalpha():
+            found[chr(code)] = plain[0].lower()
+    return "".join(found), "".join(found.values())
+
+
+#: Marks fall away from the letters that they stand on, then ten letters are written as others.
+_FROM, _TO = _accents()
+FOLDED = f"translate(lower({{text}}), '{_FROM}', '{_TO}')"
+for _letter, _as in REPLACED.items():
+    FOLDED = f"replace({FOLDED}, '{_letter}', '{_as}')"
+FOLDED = f"regexp_replace({FOLDED}, '[^{LETTERS}]', ''{{g}})"
 
 
 def _search(body: str) -> tuple[str, str]:
@@ -202,7 +216,7 @@ SEARCH = {
     # A verbose code writes each letter as a unit of two symbols; a token parses if it is such units.
     "token_parse": _search("SELECT w, count(*) AS n, CASE WHEN length(w) % 2 = 1 THEN 'error' WHEN length(w) = 2 THEN 'unigram' WHEN length(w) = 4 THEN 'pair' ELSE 'unparsed' END AS parse FROM {tokens} GROUP BY w"),
     "code_table_ambiguity": _search(
-        "WITH u AS (SELECT DISTINCT substr(w, 1, 2) AS a FROM {tokens} WHERE length(w) > 2 AND line_no = 0), v AS (SELECT x.a AS l, y.a AS r FROM u x CROSS JOIN u y WHERE substr(x.a, 1, 1) < substr(y.a, 1, 1)) "
+        "WITH u AS (SELECT DISTINCT substr(w, 1, 2) AS a FROM {tokens} WHERE length(w) > 2), v AS (SELECT x.a AS l, y.a AS r FROM u x CROSS JOIN u y WHERE substr(x.a, 1, 1) < substr(y.a, 1, 1)) "
         "SELECT concat(substr(l, 2, 1), r) AS code, count(*) AS n FROM v GROUP BY concat(substr(l, 2, 1), r) HAVING count(*) > 1"
     ),
 }

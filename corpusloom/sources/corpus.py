@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores if its files make fewer tasks than there are: a table of one file is
+    read by one task, however much work its rows are. A large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z]+"), lambda w: w != "")
 
@@ -26,7 +33,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_no, quire, stratum, line_no, words, n_words, para_start, para_end."""
     found = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_words), lambda ws: F.size(ws) > 0)
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.col("source").alias("quire"), F.coalesce("lang", F.lit("")).alias("stratum"), found.alias("_lines"))
+    pages = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(F.col("doc_id").alias("page_no"), F.col("source").alias("quire"), F.coalesce("lang", F.lit("")).alias("stratum"), found.alias("_lines"))
     return pages.select("page_no", "quire", "stratum", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_no", "words")).select(
         "page_no", "quire", "stratum", "line_no", "words", F.size("words").alias("n_words"),
         (F.col("line_no") == 0).alias("para_start"), (F.col("line_no") == F.col("_n") - 1).alias("para_end"),

@@ -1,43 +1,131 @@
-"""The ledger's time-based rules on a stream of attempts, over files of events."""
+"""The ledger's rules on a stream of events: rate limits, submissions, credit.
+
+Events are applied as they arrive. Nothing is dropped for being late: a late result still counts, so
+there is no watermark, and what must outlive a batch is kept by key (rate limits, first results) or
+in the credit table itself (credit).
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from corpusloom import storage
+from corpusloom.sources import ledger
+
+#: A key may make so many requests in a window of so many seconds; a lease holds for so many.
+MOST, SECONDS, LEASE = 3, 86_400, 600
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts as a stream: events with their unit, late by at most an hour."""
+    """Events as a stream: id, guest_id, unit_id, moment (seconds), result, amount."""
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
     # A stream reads folders; a single file is named by a pattern.
-    events = spark.readStream.schema(schema).parquet(path.replace("events.parquet", "events.parque[t]"))
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.parquet", "events.parque[t]"))
     unit = F.get_json_object("props", "$.k").cast("bigint").alias("unit_id")
-    return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("guest_id"), unit, F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount")).withWatermark("ts", "1 hour")
+    return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("guest_id"), unit, F.unix_timestamp("ts").alias("moment"), F.col("event_type").alias("result"), F.col("value").alias("amount"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that the stream gives for what is there now."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame) -> DataFrame:
+    """All that the stream gives for what is there now, from files in the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{storage.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def stream_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of unit and guest that get credit: each once, however often it is submitted."""
-    return drained(source(spark, sf_dir).select("unit_id", "guest_id").dropDuplicates(["unit_id", "guest_id"]), "append")
+def rate_limited(events: DataFrame, most: int = MOST, seconds: int = SECONDS) -> DataFrame:
+    """`events` (id, guest_id, moment) as (id, guest_id, n, limited): the request's number in its
+    window, which starts anew with the first request that is `seconds` behind the last start."""
+
+    def count(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values(["moment", "id"])
+        out = []
+        for id_, moment in zip(rows["id"], rows["moment"]):
+            start, n = (int(moment), 1) if start is None or start <= moment - seconds else (start, n + 1)
+            out.append((id_, key[0], n, n > most))
+        state.update((start, n))
+        yield pd.DataFrame(out, columns=["id", "guest_id", "n", "limited"])
+
+    narrow = events.select("id", "guest_id", "moment")
+    return narrow.groupBy("guest_id").applyInPandasWithState(count, "id bigint, guest_id bigint, n bigint, limited boolean", "start bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def submitted(events: DataFrame, lease: int = LEASE) -> DataFrame:
+    """`events` (id, unit_id, guest_id, moment, result) as (id, verdict, late): a guest's first result
+    for a unit is received, the same again is a duplicate, another one a conflict. A result behind
+    the end of its lease is late, and judged like any other."""
+
+    def judge(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        leased, first = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(["moment", "id"])
+        out = []
+        for id_, moment, result in zip(rows["id"], rows["moment"], rows["result"]):
+            if leased is None:
+                leased, first, verdict = int(moment), result, "received"
+            else:
+                verdict = "duplicate" if result == first else "conflict"
+            out.append((id_, verdict, bool(moment > leased + lease)))
+        state.update((leased, first))
+        yield pd.DataFrame(out, columns=["id", "verdict", "late"])
+
+    narrow = events.select("id", "unit_id", "guest_id", "moment", "result")
+    return narrow.groupBy("unit_id", "guest_id").applyInPandasWithState(judge, "id bigint, verdict string, late boolean", "leased bigint, first string", "append", GroupStateTimeout.NoTimeout)
+
+
+def credited(events: DataFrame, trusted: DataFrame, table: str) -> None:
+    """Adds credit to a table: once for each unit and guest, for a result equal to the unit's trusted
+    one. A batch that is run again replaces its own rows, and finds earlier ones in the table, so
+    nothing is given twice and no state grows."""
+    spark = events.sparkSession
+    schema = "unit_id bigint, guest_id bigint, id bigint, amount double, batch bigint"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+        given = (spark.read.schema(schema).parquet(table) if there else spark.createDataFrame([], schema)).where(F.col("batch") != number).select("unit_id", "guest_id")
+        right = batch.join(trusted, "unit_id").where("result = trusted")
+        first = right.groupBy("unit_id", "guest_id").agg(F.min_by(F.struct("id", "amount"), F.struct("moment", "id")).alias("x")).select("unit_id", "guest_id", "x.*")
+        new = first.join(given, ["unit_id", "guest_id"], "left_anti").withColumn("batch", F.lit(number).cast("bigint"))
+        new.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(table)
+
+    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{table}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of each guest by hour, and whether they pass the limit of five."""
-    counted = source(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "guest_id").agg(F.count("*").alias("n"))
-    return drained(counted, "complete").select(F.unix_timestamp("w.start").alias("window_start"), "guest_id", "n", (F.col("n") > 5).alias("limited"))
+    return drained(rate_limited(source(spark, sf_dir)))
+
+
+def stream_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(submitted(source(spark, sf_dir)))
+
+
+def stream_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_id, guest_id, id, amount): a unit's trusted result is that of its first event."""
+    known = ledger.attempts(spark, sf_dir).groupBy("unit_id").agg(F.min_by("state", "id").alias("trusted"))
+    table = f"{storage.shared_folder(spark).rstrip('/')}/credit-{uuid.uuid4().hex}"
+    credited(source(spark, sf_dir), storage.cut(known), table)
+    return spark.read.schema("unit_id bigint, guest_id bigint, id bigint, amount double, batch bigint").parquet(table).drop("batch")
+
 
+QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_submissions, stream_credit)}
 
+_EVENTS = "e AS (SELECT event_id AS id, user_id AS guest_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS unit_id, CAST(floor(epoch(ts)) AS BIGINT) AS moment, event_type AS result, value AS amount FROM events)"
 ORACLE_SQL = {
-    "stream_credit": "SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS unit_id, user_id AS guest_id FROM events",
-    "stream_rate_limit": """SELECT CAST(floor(epoch(date_trunc('hour', ts))) AS BIGINT) AS window_start, user_id AS guest_id, count(*) AS n, count(*) > 5 AS limited FROM events GROUP BY ALL""",
+    "stream_rate_limit": f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY guest_id ORDER BY moment, id) AS k FROM e),
+        r AS (SELECT id, guest_id, k, moment AS start, CAST(1 AS BIGINT) AS n FROM o WHERE k = 1 UNION ALL
+          SELECT o.id, o.guest_id, o.k, CASE WHEN r.start <= o.moment - {SECONDS} THEN o.moment ELSE r.start END, CASE WHEN r.start <= o.moment - {SECONDS} THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.guest_id = r.guest_id AND o.k = r.k + 1)
+        SELECT id, guest_id, n, n > {MOST} AS limited FROM r""",
+    "stream_submissions": f"""WITH {_EVENTS}, f AS (SELECT *, first_value(result) OVER w AS first, first_value(moment) OVER w AS leased, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY unit_id, guest_id ORDER BY moment, id))
+        SELECT id, CASE WHEN k = 1 THEN 'received' WHEN result = first THEN 'duplicate' ELSE 'conflict' END AS verdict, moment > leased + {LEASE} AS late FROM f""",
+    "stream_credit": f"""WITH {_EVENTS} SELECT unit_id, guest_id, id, amount FROM e WHERE result = (SELECT t.result FROM e t WHERE t.unit_id = e.unit_id ORDER BY t.id LIMIT 1)
+        QUALIFY row_number() OVER (PARTITION BY unit_id, guest_id ORDER BY moment, id) = 1""",
 }

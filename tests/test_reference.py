@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpusloom.operators import statistics
@@ -23,7 +24,7 @@ def duck():
 def plain(frame):
     frame = frame[sorted(frame.columns)]
     def one(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return None
         return round(float(x), 5) + 0.0 if isinstance(x, (float, int)) or hasattr(x, "dtype") else x
     return sorted((tuple(map(one, r)) for r in frame.itertuples(index=False)), key=str)
