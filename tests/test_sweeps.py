@@ -79,7 +79,7 @@ def test_units_run_in_tasks(spark):
 def test_conditional_ranks(spark):
     layout = [8] * 12
     observed = generators.build("gibberish")(sweeps.Stream(b"x", 9281), layout)
-    pages = spark.createDataFrame([(1, observed), (2, []), (3, [["a"] * 50])], "page_no bigint, lines array<array<string>>")
+    pages = spark.createDataFrame([(1, observed), (2, []), (3, [["a"] * 100])], "page_no bigint, lines array<array<string>>")
     got = {r["page_no"]: r for r in sweeps.conditional_ranks(pages, "gibberish", {}, TargetOptions(4, 91), most_words=96).collect()}
     assert math.isfinite(got[1]["score"]) and got[1]["p"] in [k / 20 for k in range(1, 21)] and got[2]["p"] is None and got[3]["p"] is None
     assert calibration.conditional_target(Corpus.of(observed, {0}, {11}), TargetOptions(4, 91)).weight[-1] == 0
