@@ -440,22 +440,22 @@ def best_of(records: DataFrame) -> DataFrame:
     return records.groupBy("job", "algorithm").agg(F.max_by(F.struct("start", "score", "recovered", "letters"), F.struct("score", -F.col("start"))).alias("x")).select("job", "algorithm", "x.*")
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.query(shared.SEARCH["normalize_text"][0])(spark, sf_dir).select(F.col("item_id").alias("job"), "folded")
 
 
 def anneal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text, two starts of annealing at the published budget."""
-    return recover(_texts(spark, sf_dir), Model.trained(spark, sf_dir), {"restart-anneal-v1": (0, 1)})
+    return recover(folded(spark, sf_dir), Model.trained(spark, sf_dir), {"restart-anneal-v1": (0, 1)})
 
 
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text by the beam at the published width and budget."""
-    return recover(_texts(spark, sf_dir), Model.trained(spark, sf_dir), {"beam-v1": (0,)})
+    return recover(folded(spark, sf_dir), Model.trained(spark, sf_dir), {"beam-v1": (0,)})
 
 
 def homophonic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_of(recover(_texts(spark, sf_dir), Model.trained(spark, sf_dir), {"restart-anneal-v1": (0, 1)}, "balanced-homophonic"))
+    return best_of(recover(folded(spark, sf_dir), Model.trained(spark, sf_dir), {"restart-anneal-v1": (0, 1)}, "balanced-homophonic"))
 
 
 QUERIES = {f.__name__: f for f in (anneal_search, beam_search, homophonic_search)}

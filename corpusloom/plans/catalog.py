@@ -1,6 +1,6 @@
 """Registered queries and their SQL equivalents."""
 
-from corpusloom.operators import candidates, distances, generators, search, statistics, sweeps
+from corpusloom.operators import candidates, distances, generators, panel, search, statistics, sweeps
 from corpusloom.sources import corpus, transliteration
 from corpusloom.streaming import credit
 
@@ -16,7 +16,7 @@ QUERIES |= {name: shared.query(text) for name, (text, _) in shared.SEARCH.items(
 ORACLE_SQL |= {name: shared.oracle(text) for name, (_, text) in shared.SEARCH.items()}
 
 QUERIES |= {f"gen_{family}": generators.registered(family) for family in generators.FAMILIES}
-QUERIES |= search.QUERIES
+QUERIES |= search.QUERIES | panel.QUERIES
 QUERIES |= credit.QUERIES | coordinator.QUERIES | {"z_distance_by_label": distances.z_distance}
 ORACLE_SQL |= {**credit.ORACLE_SQL, **coordinator.ORACLE_SQL, "z_distance_by_label": distances.SQL}
 QUERIES |= sweeps.QUERIES
