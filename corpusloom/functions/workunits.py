@@ -19,10 +19,10 @@ from .calibration import Invalid, METRICS, Target, median
 from .random import Stream
 from .textstats import NAMES, VERSION, fingerprint
 
-#: The schemas' names and bounds.
-UNIT_SCHEMA, RESULT_SCHEMA = "vah-work-unit-0.2", "vah-result-0.2"
-LEDGER_SCHEMA = "vah-sweep-ledger-0.1"
-CHECKPOINT_SCHEMA = "vah-generation-checkpoint-1"
+#: The schemas' names, which documents may have behind a prefix of their own, and bounds.
+UNIT_SCHEMA, RESULT_SCHEMA = "work-unit-0.2", "result-0.2"
+LEDGER_SCHEMA = "sweep-ledger-0.1"
+CHECKPOINT_SCHEMA = "generation-checkpoint-1"
 PROFILE, KERNEL = "python-ieee754-scalar-v1", "corpusloom"
 MOST_SEEDS, MOST_LINES, MOST_WORDS = 256, 200_000, 2_000_000
 KEY = re.compile(r"[a-z][a-z0-9_]{0,63}")
@@ -69,7 +69,7 @@ def stream_id(unit: dict) -> str:
 
 def validate(unit: dict, target: Target, layout: Layout, resources: dict | None = None) -> None:
     """Raises Invalid unless the unit can run with these artifacts, and they are those that it names."""
-    if unit["schema_version"] != UNIT_SCHEMA or unit["fingerprint_version"] != VERSION or target.version != VERSION:
+    if not unit["schema_version"].endswith(UNIT_SCHEMA) or unit["fingerprint_version"] != VERSION or target.version != VERSION:
         raise Invalid("the unit's schema or fingerprint version isn't supported")
     if unit["family"] not in generators.FAMILIES:
         raise Invalid(f"unknown family {unit['family']}")
@@ -282,7 +282,7 @@ def read_ledger(lines: Sequence[str]) -> tuple[dict, list[dict]]:
     if not lines:
         raise Invalid("an empty ledger")
     header, *entries = [canonical.loads(line) for line in lines if line.strip()]
-    if header.get("ledger") != LEDGER_SCHEMA:
+    if not str(header.get("ledger")).endswith(LEDGER_SCHEMA):
         raise Invalid(f"unsupported ledger schema {header.get('ledger')}")
     return header, sorted(entries, key=lambda e: e["index"])
 

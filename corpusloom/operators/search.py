@@ -28,7 +28,7 @@ LETTERS = shared.LETTERS
 SIZE = len(LETTERS)
 #: Fixed value: the score of a letter that a partial key doesn't know.
 UNKNOWN = -3300
-VERSION, MODEL, RECORD, CHECKPOINT = "vah-search-1", "vah-ngram-1", "vah-search-result-1", "vah-search-checkpoint-1"
+VERSION, MODEL, RECORD, CHECKPOINT = "search-1", "ngram-1", "search-result-1", "search-checkpoint-1"
 ENCODINGS = ("substitution", "homophonic", "balanced-homophonic")
 #: A checkpoint's trace has a digest of the state every so many proposals.
 TRACED = 128
@@ -366,7 +366,7 @@ class CodeTable:
                 raise Invalid(f"{'ambiguous' if pairs else 'unparsed'} token: {token}")
         return found
 
-    def encrypt(self, plain: Sequence[int], key: Sequence[int], seed: int, salt: bytes = b"naibbe-v2-strict-chacha8", tries: int = 10_000) -> str:
+    def encrypt(self, plain: Sequence[int], key: Sequence[int], seed: int, salt: bytes = b"verbose-code", tries: int = 10_000) -> str:
         """Letters under a key, in singles and pairs, tables drawn from a shuffled deck; a pair whose
         code could be read otherwise is drawn again."""
         if sorted(key) != list(range(SIZE)) or not all(0 <= c < SIZE for c in plain):

@@ -78,12 +78,10 @@ CORPUS = {
         SELECT coalesce(round(0.5D * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5D * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 6), 0.0D) AS js FROM p""",
     "corpus_differences": "SELECT w FROM {tokens} WHERE stratum = 'en' EXCEPT SELECT w FROM {tokens} WHERE stratum <> 'en'",
     "corpus_shared_words": "SELECT w FROM {tokens} WHERE stratum = 'en' INTERSECT SELECT w FROM {tokens} WHERE stratum = 'fr'",
-    "decimal_literals": "SELECT count(*) AS n FROM {events} WHERE regexp_like(CAST(user_id AS VARCHAR(20)), '^-?(0|[1-9][0-9]*)([.][0-9]+)?$')",
     "page_turns": "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, length(text) AS n FROM {conversations}",
 }
 
 INFERENCE = {
-    "quantiles": "SELECT algorithm, control, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY score), 6) AS median, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY score), 6) AS q99 FROM {runs} GROUP BY algorithm, control",
     "replicate_summary": "SELECT case_id, count(*) AS n, round(median(score), 6) AS median, round(avg(score), 6) AS mean, min(score) AS low, max(score) AS high FROM {runs} GROUP BY case_id",
     "argmin_ties": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score, start) AS k FROM {runs}) SELECT case_id, start, score FROM r WHERE k = 1",
     "argmax_ties": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, start) AS k FROM {runs}) SELECT case_id, start, score FROM r WHERE k = 1",
@@ -95,9 +93,6 @@ INFERENCE = {
     "disjoint_totals": "SELECT algorithm, CASE WHEN sum(CASE WHEN score > 9000000 THEN 1 ELSE 0 END) > 0 THEN NULL ELSE round(sum(elapsed), 6) END AS elapsed, sum(CASE WHEN score > 9000000 THEN 1 ELSE 0 END) > 0 AS some_unknown FROM {runs} GROUP BY algorithm",
     "wilson_bounds": """WITH c AS (SELECT case_id, CAST(sum(CASE WHEN score >= 3000000 THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM {runs} GROUP BY case_id), p AS (SELECT *, k / n AS p, 1.959963984540054D AS z FROM c)
         SELECT case_id, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS lower_bound, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS upper_bound FROM p""",
-    "acceptance_rule_a": """WITH e AS (SELECT percentile_cont(0.99) WITHIN GROUP (ORDER BY score) AS eps FROM {runs} WHERE control = 'O'), c AS (SELECT algorithm, case_id, max(score) AS d FROM {runs} WHERE control = 'F' GROUP BY algorithm, case_id),
-        k AS (SELECT algorithm, CAST(sum(CASE WHEN d <= eps THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM c CROSS JOIN e GROUP BY algorithm), p AS (SELECT *, k / n AS p, 1.959963984540054D AS z FROM k)
-        SELECT algorithm, round(p, 6) AS share, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) > 0.5D AS recovered FROM p""",
     # Scores are counted in blocks, so no window holds them all.
     "rank_p_value": """WITH o AS (SELECT case_id, max(score) AS s FROM {runs} GROUP BY case_id), g AS (SELECT score, count(*) AS n FROM {runs} WHERE control = 'O' GROUP BY score),
         ins AS (SELECT v, floor(v / 100000) AS block, sum(n) AS n FROM (SELECT score AS v, n FROM g UNION ALL SELECT DISTINCT s, 0 FROM o) GROUP BY v), bs AS (SELECT block, sum(n) AS n FROM ins GROUP BY block),
@@ -110,7 +105,6 @@ INFERENCE = {
     "grid_points": """WITH a AS (SELECT DISTINCT l_returnflag AS a FROM {lineitem}), b AS (SELECT DISTINCT l_linestatus AS b FROM {lineitem}), c AS (SELECT DISTINCT l_linenumber AS c FROM {lineitem})
         SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS idx, a, b, c FROM a CROSS JOIN b CROSS JOIN c""",
     "review_labels": "SELECT quality, toxic, count(*) AS n, count(*) * 100 > (SELECT count(*) FROM {labels}) AS common FROM {labels} GROUP BY quality, toxic",
-    "uniqueness_check": "SELECT case_id, score, count(*) AS n FROM {runs} GROUP BY case_id, score HAVING count(*) > 1",
 }
 
 LEDGER = {
@@ -138,11 +132,7 @@ LEDGER = {
     "keyset_page": "SELECT id, state FROM {units} WHERE id > 100 ORDER BY id LIMIT 50",
     "error_queue": "SELECT id, unit_id, guest_id FROM {attempts} WHERE state = 'error' OR amount > 95 ORDER BY moment, id LIMIT 100",
     "storage_admission": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, sum(n_chars) + 100000 <= 134217728 AS admits FROM {documents} GROUP BY source",
-    "orphan_refs": "SELECT a.id FROM {attempts} a WHERE NOT EXISTS (SELECT 1 FROM {units} u WHERE u.id = a.unit_id)",
-    "expired_cleanup": "SELECT id, unit_id FROM {attempts} WHERE moment < (SELECT max(moment) FROM {attempts}) - 7776000 / 30",
     "upsert_latest": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY guest_id ORDER BY moment DESC, id DESC) AS k FROM {attempts}) SELECT guest_id, id, state, moment FROM r WHERE k = 1",
-    "layout_coverage": """WITH l AS (SELECT page_no, line_no, n_words, sum(n_words) OVER (PARTITION BY page_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) - n_words AS moment FROM {lines}), g AS (SELECT *, lag(moment + n_words) OVER (PARTITION BY page_no ORDER BY line_no) AS ended FROM l)
-        SELECT page_no, min(CASE WHEN moment = coalesce(ended, 0) THEN 1 ELSE 0 END) = 1 AS tiles FROM g GROUP BY page_no""",
     "input_store_dedupe": "SELECT n_chars, count(*) AS rows_, count(DISTINCT text) AS objects FROM {documents} GROUP BY n_chars",
 }
 
@@ -197,6 +187,15 @@ _ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The 26 keys of a shift cipher with their alphabets.
 _KEYS = "k AS (" + " UNION ALL ".join(f"SELECT {k} AS key, '{_ABC[k:] + _ABC[:k]}' AS abc" for k in range(26)) + ")"
 
+#: Scores with how many are below them in their group: counted by value, summed within blocks of
+#: values and over the blocks, so that no task orders a group.
+_BY_VALUE = "SELECT algorithm, control, score, floor(score / 100000) AS block, count(*) AS n FROM {runs} GROUP BY algorithm, control, score, block"
+_OF_CONTROL = "SELECT 'all' AS algorithm, control, score, floor(score / 100000) AS block, count(*) AS n FROM {runs} WHERE control = 'O' GROUP BY control, score, block"
+_RANKED = """WITH g AS (%s),
+        bs AS (SELECT algorithm, control, block, sum(n) AS n FROM g GROUP BY algorithm, control, block),
+        ba AS (SELECT algorithm, control, block, sum(n) OVER (PARTITION BY algorithm, control ORDER BY block) - n AS ahead, sum(n) OVER (PARTITION BY algorithm, control) AS total FROM bs),
+        r AS (SELECT g.algorithm, g.control, g.score, g.n, ba.total, ba.ahead + sum(g.n) OVER (PARTITION BY g.algorithm, g.control, g.block ORDER BY g.score) - g.n AS low FROM g JOIN ba ON ba.algorithm = g.algorithm AND ba.control = g.control AND ba.block = g.block)"""
+
 #: Name: (Spark text, DuckDB text).
 SEARCH = {
     "normalize_text": _search("SELECT item_id, $fold(text) AS folded FROM {benchmark}"),
@@ -209,14 +208,50 @@ SEARCH = {
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matches DESC, key) AS n FROM d) SELECT item_id, CAST(key AS BIGINT) AS key, CAST(matches AS BIGINT) AS matches FROM r WHERE n = 1""",
         "SELECT item_id, CAST(item_id % 26 AS BIGINT) AS key, CAST(length(text) AS BIGINT) AS matches FROM {benchmark}",
     ),
-    "substitution_decode": (
-        "SELECT item_id, translate(translate($T, 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiopasdfghjklzxcvbnm'), 'qwertyuiopasdfghjklzxcvbnm', 'abcdefghijklmnopqrstuvwxyz') AS plain FROM {benchmark}".replace("$T", "lower(text)"),
-        "SELECT item_id, lower(text) AS plain FROM {benchmark}",
-    ),
+    # Every item is enciphered under the alphabet turned by its number, and decoded letter by letter through the key.
+    "substitution_decode": _search(
+        f"WITH p AS (SELECT item_id, $fold(text) AS plain, concat(substr('{LETTERS}', CAST(item_id % 23 AS INT) + 1), substr('{LETTERS}', 1, CAST(item_id % 23 AS INT))) AS k FROM {{benchmark}}), c AS (SELECT item_id, k, translate(plain, '{LETTERS}', k) AS cipher FROM p) "
+        f"SELECT item_id, cipher, array_join(transform(split(cipher, ''), x -> substr('{LETTERS}', instr(k, x), 1)), '') AS plain FROM c"
+    )[:1] + _search(
+        f"SELECT item_id, translate($fold(text), '{LETTERS}', '{LETTERS}'[CAST(item_id % 23 AS INT) + 1 :] || '{LETTERS}'[1 : CAST(item_id % 23 AS INT)]) AS cipher, $fold(text) AS plain FROM {{benchmark}}"
+    )[1:],
     # A verbose code writes each letter as a unit of two symbols; a token parses if it is such units.
     "token_parse": _search("SELECT w, count(*) AS n, CASE WHEN length(w) % 2 = 1 THEN 'error' WHEN length(w) = 2 THEN 'unigram' WHEN length(w) = 4 THEN 'pair' ELSE 'unparsed' END AS parse FROM {tokens} GROUP BY w"),
     "code_table_ambiguity": _search(
         "WITH u AS (SELECT DISTINCT substr(w, 1, 2) AS a FROM {tokens} WHERE length(w) > 2), v AS (SELECT x.a AS l, y.a AS r FROM u x CROSS JOIN u y WHERE substr(x.a, 1, 1) < substr(y.a, 1, 1)) "
         "SELECT concat(substr(l, 2, 1), r) AS code, count(*) AS n FROM v GROUP BY concat(substr(l, 2, 1), r) HAVING count(*) > 1"
     ),
+    "decimal_literals": (
+        "SELECT w, count(*) AS n FROM (SELECT explode(split(coalesce(text, ''), '[ \n]')) AS w FROM {documents}) WHERE regexp_like(w, '^-?(0|[1-9][0-9]*)([.][0-9]+)?$') GROUP BY w",
+        "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')) AS w FROM {documents}) WHERE try_cast(w AS DOUBLE) IS NOT NULL AND regexp_matches(w, '^-?[0-9]+([.][0-9]+)?$') AND NOT regexp_matches(w, '^-?0[0-9]') GROUP BY w",
+    ),
+    "uniqueness_check": (
+        "SELECT l_orderkey, l_linenumber, count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+        "SELECT DISTINCT l_orderkey, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM {lineitem}) WHERE n > 1",
+    ),
+    "orphan_refs": (
+        "SELECT a.id FROM {attempts} a LEFT ANTI JOIN (SELECT id FROM {units} WHERE state = 'O') u ON u.id = a.unit_id",
+        "SELECT id FROM {attempts} WHERE unit_id NOT IN (SELECT id FROM {units} WHERE state = 'O')",
+    ),
+    "expired_cleanup": (
+        "SELECT a.id, a.unit_id FROM {attempts} a CROSS JOIN (SELECT max(moment) - 10 * 86400 AS cut FROM {attempts}) c WHERE a.moment < c.cut",
+        "SELECT id, unit_id FROM {attempts} WHERE moment < (SELECT max(moment) FROM {attempts}) - 10 * 86400",
+    ),
+    "quantiles": (
+        f"""{_RANKED % _BY_VALUE}, p AS (SELECT algorithm, control, q, total, q * (total - 1) AS pos FROM (SELECT DISTINCT algorithm, control, total FROM r) CROSS JOIN (VALUES (0.5D), (0.99D)) AS v(q)),
+        x AS (SELECT p.algorithm, p.control, p.q, max(p.pos - floor(p.pos)) AS part, max(CASE WHEN r.low <= floor(p.pos) AND floor(p.pos) < r.low + r.n THEN r.score END) AS a, max(CASE WHEN r.low <= ceil(p.pos) AND ceil(p.pos) < r.low + r.n THEN r.score END) AS b
+          FROM p JOIN r ON r.algorithm = p.algorithm AND r.control = p.control GROUP BY p.algorithm, p.control, p.q)
+        SELECT algorithm, control, round(max(CASE WHEN q = 0.5D THEN a + (b - a) * part END), 6) AS median, round(max(CASE WHEN q = 0.99D THEN a + (b - a) * part END), 6) AS q99 FROM x GROUP BY algorithm, control""",
+        "SELECT algorithm, control, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY score), 6) AS median, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY score), 6) AS q99 FROM {runs} GROUP BY algorithm, control",
+    ),
+    "acceptance_rule_a": (
+        f"""{_RANKED % _OF_CONTROL},
+        p AS (SELECT total, 0.99D * (total - 1) AS pos FROM r LIMIT 1), e AS (SELECT max(CASE WHEN low <= floor(pos) AND floor(pos) < low + n THEN score END) AS a, max(CASE WHEN low <= ceil(pos) AND ceil(pos) < low + n THEN score END) AS b, max(pos - floor(pos)) AS part FROM r CROSS JOIN (SELECT pos FROM p) x),
+        d AS (SELECT algorithm, case_id, max(score) AS d FROM {{runs}} WHERE control = 'F' GROUP BY algorithm, case_id),
+        k AS (SELECT algorithm, CAST(count_if(d <= a + (b - a) * part) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n, median(d) AS mid FROM d CROSS JOIN e GROUP BY algorithm)
+        SELECT algorithm, k, n, round(mid, 6) AS median, round(k / n, 6) AS share, (k / n + 1.9207294D / n - 1.959964D * sqrt(k / n * (1 - k / n) / n + 0.9603647D / (n * n))) / (1 + 3.8414589D / n) > 0.5D AS compatible FROM k""",
+        """WITH e AS (SELECT percentile_cont(0.99) WITHIN GROUP (ORDER BY score) AS eps FROM {runs} WHERE control = 'O'), d AS (SELECT algorithm, case_id, max(score) AS d FROM {runs} WHERE control = 'F' GROUP BY algorithm, case_id),
+        k AS (SELECT algorithm, CAST(count_if(d <= eps) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n, median(d) AS mid FROM d CROSS JOIN e GROUP BY algorithm), p AS (SELECT *, k / n AS p, 1.959964D AS z FROM k)
+        SELECT algorithm, k, n, round(mid, 6) AS median, round(p, 6) AS share, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) > 0.5D AS compatible FROM p""",
+    ),
 }
