@@ -39,16 +39,12 @@ def _turned(x: np.ndarray, by: int) -> np.ndarray:
     return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
 
 
-def blocks(key: tuple[int, ...], counter: int, n: int) -> list[int]:
-    """The 64-bit numbers of `n` blocks on from `counter`: eight to a block, low word first.
+def _mixed(start: np.ndarray) -> list[int]:
+    """The numbers of blocks from their starting states, (4, 4, n): eight to a block, low word first.
 
     The state's rows are taken together: a round works on its four columns at once, and on its
     diagonals as columns of the rows turned against each other.
     """
-    at = np.arange(counter, counter + n, dtype=np.uint64)
-    start = np.empty((4, 4, n), np.uint32)
-    start[:3] = np.array([*SIGMA, *key], np.uint32).reshape(3, 4, 1)
-    start[3, 0], start[3, 1], start[3, 2:] = at.astype(np.uint32), (at >> np.uint64(32)).astype(np.uint32), 0
     a, b, c, d = start
     for _ in range(4):
         for turn in (1, -1):
@@ -61,13 +57,35 @@ def blocks(key: tuple[int, ...], counter: int, n: int) -> list[int]:
             c = c + d
             b = _turned(b ^ c, 7)
             b, c, d = b[[turn % 4, (1 + turn) % 4, (2 + turn) % 4, (3 + turn) % 4]], c[[2, 3, 0, 1]], d[[-turn % 4, (1 - turn) % 4, (2 - turn) % 4, (3 - turn) % 4]]
-    words = (np.stack([a, b, c, d]) + start).reshape(16, n).T.astype(np.uint64)
+    words = (np.stack([a, b, c, d]) + start).reshape(16, -1).T.astype(np.uint64)
     return (words[:, 1::2] << np.uint64(32) | words[:, ::2]).ravel().tolist()
 
 
-def numbers(key: tuple[int, ...]) -> Iterator[int]:
-    """The numbers of all blocks; more are made at a time as more are drawn."""
+def blocks(key: tuple[int, ...], counter: int, n: int) -> list[int]:
+    """The 64-bit numbers of `n` blocks on from `counter`."""
+    at = np.arange(counter, counter + n, dtype=np.uint64)
+    start = np.empty((4, 4, n), np.uint32)
+    start[:3] = np.array([*SIGMA, *key], np.uint32).reshape(3, 4, 1)
+    start[3, 0], start[3, 1], start[3, 2:] = at.astype(np.uint32), (at >> np.uint64(32)).astype(np.uint32), 0
+    return _mixed(start)
+
+
+def first_blocks(keys: list[tuple[int, ...]]) -> list[list[int]]:
+    """The first eight numbers under each key."""
+    start = np.zeros((4, 4, len(keys)), np.uint32)
+    start[0] = np.array(SIGMA, np.uint32).reshape(4, 1)
+    start[1:3] = np.array(keys, np.uint32).T.reshape(2, 4, -1)
+    found = _mixed(start)
+    return [found[k : k + 8] for k in range(0, len(found), 8)]
+
+
+def numbers(key: tuple[int, ...], first: list[int] | None = None) -> Iterator[int]:
+    """The numbers of all blocks; more are made at a time as more are drawn. `first`: those of the
+    first block, if they are known."""
     counter, made = 0, 4
+    if first is not None:
+        yield from first
+        counter = 1
     while True:
         yield from blocks(key, counter, made)
         counter, made = counter + made, min(2048, 2 * made)
@@ -78,13 +96,27 @@ def threshold(p: float) -> int:
     return math.ceil(p * 2.0**53) << 11
 
 
+def key_of(salt: bytes, seed: int) -> tuple[int, ...]:
+    return struct.unpack("<8I", hashlib.sha256(salt + b"\0" + struct.pack("<Q", seed)).digest())
+
+
 class Stream:
     """Draws, one after the other: `draw()` gives 64 bits, the others what they make of them."""
 
     def __init__(self, salt: bytes, seed: int):
-        self.key = struct.unpack("<8I", hashlib.sha256(salt + b"\0" + struct.pack("<Q", seed)).digest())
+        self.key = key_of(salt, seed)
         self.draw = numbers(self.key).__next__
 
+    @staticmethod
+    def short(salt: bytes, seeds: range, together: int = 256) -> Iterator["Stream"]:
+        """A stream for each seed, their first numbers made together: for few draws from each."""
+        for at in range(0, len(seeds), together):
+            keys = [key_of(salt, seed) for seed in seeds[at : at + together]]
+            for key, first in zip(keys, first_blocks(keys)):
+                stream = Stream.__new__(Stream)
+                stream.key, stream.draw = key, numbers(key, first).__next__
+                yield stream
+
     def u64(self) -> int:
         return self.draw()
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from corpusloom.operators import generators
 
 from . import canonical
-from .calibration import Invalid, METRICS, Target, median
+from .calibration import METRICS, Corpus, Invalid, Target, TargetOptions, build_target, median
 from .random import Stream
 from .textstats import NAMES, VERSION, fingerprint
 
@@ -123,6 +123,15 @@ def run(unit: dict, target: Target, layout: Layout, resources: dict | None = Non
     return result(unit, [seed_result(unit, target, layout, s, resources) for s in range(unit["seed_start"], unit["seed_start"] + unit["seed_count"])])
 
 
+def plant(source: str, family: str, params: dict, layout: Layout, seed: int, options: TargetOptions, resources: dict | None = None) -> dict:
+    """A corpus made from hidden parameters on a layout, with all that a search for them gets: its
+    text, target and layout; the answer is kept apart."""
+    lines = generators.build(family, params, resources)(Stream(f"planted:{source}".encode(), seed), [n for n, _, _ in layout])
+    made = Corpus.of(lines, {k for k, x in enumerate(layout) if x[1]}, {k for k, x in enumerate(layout) if x[2]})
+    text = "".join(".".join(ws) + "\n" * (1 + (k in made.ends)) for k, ws in enumerate(made.lines))
+    return {"text": text, "target": build_target(made, options), "layout": made.layout(), "answer": {"family": family, "params": params, "seed": seed, "source": source}}
+
+
 def step(unit: dict, target: Target, layout: Layout, checkpoint: dict | None = None, resources: dict | None = None) -> dict:
     """A checkpoint with one more seed done, or the same if all are."""
     validate(unit, target, layout, resources)

@@ -309,6 +309,11 @@ def word_bag(tokens: DataFrame) -> DataFrame:
     return inside.join(sums, ["n", "head"]).select("w", "n", (F.col("ahead") + F.col("inside")).alias("before"), "total")
 
 
+def bag_head(bag: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The `most` most frequent words of a bag, as a resource for one task."""
+    return [(r["w"], r["n"]) for r in bag.orderBy(F.desc("n"), "w").limit(most).select("w", "n").collect()]
+
+
 def glyph_model(lines: DataFrame, order: int = 3) -> DataFrame:
     """(context, glyph, n): letters given the `order` before them, an edge behind each word and
     edges before a line."""

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import storage
@@ -96,6 +96,20 @@ def evaluate(runs: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
     return found.join(above, key, "left")
 
 
+def outcome() -> Column:
+    """Of a message under a budget: recovered exactly, read wrongly, or without any run."""
+    return F.when(F.col("exact"), "exact").when(F.col("exact").isNull(), "unavailable").otherwise("wrong")
+
+
+def compare_budgets(found: DataFrame, before: int, after: int) -> DataFrame:
+    """How the outcomes of messages change from one budget to a larger one, by algorithm, with the
+    evaluations that the further starts cost."""
+    side = lambda b: found.where((F.col("control") == "message") & (F.col("budget") == b)).select("job", "algorithm", outcome().alias(f"at_{b}"), F.col("evaluations").alias(f"evaluations_{b}"))
+    both = side(before).join(side(after), ["job", "algorithm"])
+    cost = (F.col(f"evaluations_{after}") - F.col(f"evaluations_{before}")).cast("long")
+    return both.groupBy("algorithm", f"at_{before}", f"at_{after}").agg(F.count("*").alias("cases"), F.sum(cost).alias("further_evaluations"))
+
+
 def panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A panel over all benchmark texts: passages of 80 letters, two starts of annealing and the beam."""
     made = cases(search.folded(spark, sf_dir), 80)

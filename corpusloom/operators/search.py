@@ -181,8 +181,8 @@ def advance(job: Job, state: dict, proposals: int) -> dict:
         return int(grams[((plain[at] * SIZE + plain[at + 1]) * SIZE + plain[at + 2]) * SIZE + plain[at + 3]].sum())
 
     end = min(state["iteration"] + proposals, job.iterations)
-    for iteration in range(state["iteration"], end):
-        rng = Stream(salt, iteration)
+    span = range(state["iteration"], end)
+    for iteration, rng in zip(span, Stream.short(salt, span)):
         a, b = rng.below(job.symbols), rng.below(job.symbols)
         anew = job.encoding == "homophonic" and rng.below(2) == 0
         to_a = rng.below(SIZE) if anew else key[b]
@@ -312,6 +312,11 @@ def verify(job: Job, found: dict) -> bool:
     return run(job) == found
 
 
+def matches(a: str, b: str) -> int:
+    """At how many places two texts agree; -1 if their lengths differ."""
+    return sum(x == y for x, y in zip(a, b)) if len(a) == len(b) else -1
+
+
 # Encoders and codes ----------------------------------------------------------------------------
 
 

@@ -202,7 +202,8 @@ def calibrated(pages: DataFrame, grid: Grid, hidden: dict, self_pool: list[float
         distances = [against.distance(found_[k]) for k in sorted(found_)]
         others[family] = judged({"distances": distances, "fingerprints": [found_[k] for k in sorted(found_)], "median": calibration.median(distances)})
     near = grid.nearest(hidden)
-    return {"epsilon": epsilon, "epsilon_median": middle, "points": found, "hidden_point": None if near is None else found[near], "best_index": best(entries)["index"], "controls": others}
+    rank = None if near is None else 1 + sum((e["median"], e["index"]) < (entries[near]["median"], near) for e in entries)
+    return {"epsilon": epsilon, "epsilon_median": middle, "points": found, "hidden_point": None if near is None else found[near], "hidden_rank": rank, "best_index": best(entries)["index"], "controls": others}
 
 
 def conditional_ranks(pages: DataFrame, family: str, params: dict, options: TargetOptions, references: int = 2, targets: int = 19, seed: int = 1, most_words: int = 200_000, most_lines: int = 20_000) -> DataFrame:

@@ -256,3 +256,10 @@ def test_layouts():
     assert generators.truncated([(4, True, True)], 3) == []
     assert workunits.estimate("search", iterations=257, length=120) == 31 and workunits.estimate("generation", seeds=4, words=2998) == 360
     assert canonical.identity(workunits.layout_document(LAYOUT)) == canonical.identity(workunits.layout_document(workunits.layout_of(workunits.layout_document(LAYOUT))))
+
+
+def test_planted_corpora():
+    made = workunits.plant("sha256:x", "selfcite", {"p_modify": 0.7}, LAYOUT, 3, TargetOptions(3, 1))
+    assert made["layout"] == list(LAYOUT) and made["text"].count("\n") == 24 and made == workunits.plant("sha256:x", "selfcite", {"p_modify": 0.7}, LAYOUT, 3, TargetOptions(3, 1))
+    lines = [x.split(".") for x in made["text"].split("\n") if x]
+    assert made["target"].mean == tuple(Corpus.of(lines, {0, 5, 10, 15}).values())

@@ -18,6 +18,12 @@ def test_numbers_are_the_blocks_words():
         assert [draws.u64() for _ in range(8)] == [high << 32 | low for low, high in zip(words[::2], words[1::2])]
 
 
+def test_short_streams_are_streams():
+    for seed, short in zip(range(3, 303), Stream.short(b"s", range(3, 303), 128)):
+        long = Stream(b"s", seed)
+        assert [short.u64() for _ in range(20)] == [long.u64() for _ in range(20)]
+
+
 def test_streams_repeat():
     assert [Stream(b"a", 5).below(100) for _ in range(3)] == [Stream(b"a", 5).below(100)] * 3
     draws = Stream(b"a", 6)

@@ -42,6 +42,9 @@ def test_panel(spark):
             assert r["controls_at_least"] == sum(found[job, c, algorithm, budget]["score"] >= r["score"] for c in panel.CONTROLS[1:])
         else:
             assert r["controls_at_least"] is None
+    moved = panel.compare_budgets(panel.evaluate(runs, (1, 2)), 1, 2).collect()
+    assert sum(r["cases"] for r in moved) == 4 and sum(r["further_evaluations"] for r in moved if r["algorithm"] == "restart-anneal-v1") == 600
+    assert [search.matches(*x) for x in (("abc", "abd"), ("a", "ab"), ("", ""))] == [2, -1, 0]
 
 
 GOOD = {

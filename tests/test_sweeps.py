@@ -62,7 +62,8 @@ def test_ledgers_and_refinement(spark, lines, tmp_path):
     report = sweeps.refined(pages, grid, against, 2)
     assert [x["level"] for x in report["levels"]] == [0, 1] and report["simulations"] == 8 + 2 * report["levels"][1]["points"]
     found = sweeps.calibrated(pages, grid, {"p_modify": 0.9, "max_len": 8}, [e["min"] for e in entries], against, ("gibberish",))
-    assert found["hidden_point"]["index"] == 3 and set(found["controls"]) == {"gibberish"}
+    order = sorted(entries, key=lambda e: (e["median"], e["index"]))
+    assert found["hidden_point"]["index"] == 3 and found["hidden_rank"] == 1 + [e["index"] for e in order].index(3) and set(found["controls"]) == {"gibberish"}
 
 
 def test_units_run_in_tasks(spark):
