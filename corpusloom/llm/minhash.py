@@ -1,8 +1,10 @@
-"""Near-duplicates by five-word Jaccard similarity of at least 0.8: banded MinHash, then exact counts.
+"""Near-duplicates by five-word Jaccard similarity of at least 0.8: SimHash first, then banded MinHash.
 
-Texts with equal shingle sets are one set, so copies cost nothing. `BANDS` bands of `ROWS` minima
-find candidates: sets that agree in a band meet in its bucket. A pair at similarity s is missed with
-probability (1 - s^5)^24: 7e-5 at 0.8, 1e-6 at 0.85. Every link is checked by counting shared shingles.
+Texts with equal shingle sets are one set, so copies cost nothing. Every link is checked by counting
+shared shingles. First come sets whose fingerprints over five-word shingles differ in at most two
+bits, by the anchor points of simhash.py. A similarity of 0.8 leaves 4 to 14 bits, out of reach of
+any covering, so `BANDS` bands of `ROWS` minima follow: sets that agree in a band meet in its bucket.
+A pair at similarity s is missed with probability (1 - s^5)^24: 7e-5 at 0.8, 1e-6 at 0.85.
 
 Buckets aren't paired in full, as one may hold a large share of all sets. Rounds take centers from a
 bucket, one in the first and eight times as many in each further one, and compare them with all
@@ -28,7 +30,7 @@ from . import common, simhash
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 MULTIPLIERS = np.random.default_rng(3).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SETS = "doc_id bigint, address string, id bigint, bands array<bigint>, shingles array<int>"
+SETS = "doc_id bigint, address string, id bigint, bits bigint, bands array<bigint>, shingles array<int>"
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -50,7 +52,7 @@ def bands(hashed: np.ndarray) -> list[int]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text) as SETS: the text's content address, its set's id, bands and shingles."""
+    """`docs` (doc_id, text) as SETS: the text's content address, its set's id, fingerprint, bands and shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -62,8 +64,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 short = [np.unique(h.astype(np.uint32).view(np.int32)) for h in found]
                 ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
                 counted = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*short, np.zeros(0, np.int32)])))
+                bits = np.array([simhash.majority(h) if len(h) else 0 for h in found], np.uint64).view(np.int64)
                 keys = pa.array([bands(h) for h in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids), keys, counted], ["doc_id", "address", "id", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids), pa.array(bits), keys, counted], ["doc_id", "address", "id", "bits", "bands", "shingles"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", F.sha2(text, 256).alias("address"), text.alias("text")).mapInArrow(rows, SETS)
@@ -78,6 +81,16 @@ def verified(pairs: DataFrame, counted: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.size(F.col("s")[0]) + F.size(F.col("s")[1]))).select("a", "b")
 
 
+def near(whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets, `whole` (id, bits), that connect those whose fingerprints differ in at
+    most two bits: one set stands for each fingerprint, and the others of it are paired with that."""
+    first = common.written(whole.groupBy("bits").agg(F.min("id").alias("c")))
+    side = lambda k: first.select(F.col("bits").alias(k), F.col("c").alias(f"{k}_c"))
+    apart = simhash.links(first.select("bits")).join(side("a"), "a").join(side("b"), "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    equal = whole.select("id", "bits").join(first, "bits").where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    return apart.union(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows (key, id, n, root) of buckets that hold several components."""
     several = rows.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("key")
@@ -86,11 +99,14 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def roots(marked: DataFrame) -> DataFrame:
     """(vertex, root) of the sets of `marked` that have a near-duplicate."""
-    whole = marked.groupBy("id").agg(F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("n"))
-    rows = _mixed(whole.select(F.explode("bands").alias("key"), "id", "n", F.col("id").alias("root")))
-    counted = marked.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    counted = common.written(counted.join(rows.select("id").distinct(), "id", "leftsemi"))
-    tested = links = None
+    whole = marked.groupBy("id").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    counted = common.written(whole.select("id", "shingles"))
+    links = common.cut(verified(common.cut(near(whole)), counted))
+    joined = simhash.components(links)
+    rows = whole.select(F.explode("bands").alias("key"), "id", F.size("shingles").alias("n"))
+    rows = rows.join(joined, rows["id"] == joined["vertex"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    rows = _mixed(rows)
+    tested = None
     centers_each = 1
     while not rows.isEmpty():
         slot = F.pmod(F.xxhash64("id", F.lit(centers_each)), F.lit(centers_each))
@@ -102,14 +118,12 @@ def roots(marked: DataFrame) -> DataFrame:
         pairs = common.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "leftanti"))
         tested = pairs if tested is None else tested.union(pairs)
         new = common.cut(verified(pairs, counted))
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         joined = simhash.components(links)
         rows = rows.join(centers.select("key", F.col("c").alias("id")), ["key", "id"], "leftanti")
         rows = rows.drop("root").join(joined, rows["id"] == joined["vertex"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
         rows = _mixed(rows)
         centers_each *= 8
-    if links is None:
-        return marked.sparkSession.createDataFrame([], "vertex bigint, root bigint")
     return simhash.components(links)
 
 

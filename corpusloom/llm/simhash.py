@@ -52,10 +52,10 @@ def hashes(text: str, shingle: int) -> np.ndarray:
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint of a text."""
     h = hashes(text, shingle)
-    return _majority(h) if len(h) else 0
+    return majority(h) if len(h) else 0
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
     """Bit by bit, whether it is set in over half of the hashes; counted a few thousand at a time."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):

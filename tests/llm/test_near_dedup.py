@@ -62,3 +62,21 @@ def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, texts[k]) for i, k in ids], "doc_id bigint, text string")
     got = sorted(((r["doc_id"], texts.index(r["text"])) for r in minhash.firsts(docs).collect()), key=lambda x: x[1])
     assert got == [(None, 0), (None, 1), (7, 2), (7, 3), (9, 4), (5, 5)]
+
+
+def as_sets(spark, found, bands):
+    rows = [(k, simhash.majority(s) - (simhash.majority(s) >> 63 << 64), bands, np.unique(s.astype(np.uint32).view(np.int32)).tolist()) for k, s in enumerate(found)]
+    return spark.createDataFrame(rows, "id bigint, bits bigint, bands array<bigint>, shingles array<int>")
+
+
+def test_fingerprints_within_two_bits_are_linked_without_a_common_band(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    # One shingle more, a quarter less, and one of another text.
+    found = [base, np.append(base, np.uint64(5)), base[100:], rng.integers(0, 2**64, 400, dtype=np.uint64)]
+    bits = [simhash.majority(s) for s in found]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2
+    pairs = {(r["a"], r["b"]) for r in minhash.near(as_sets(spark, found, [])).collect()}
+    assert pairs == {(a, b) for a in range(4) for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= 2}
+    got = {r["vertex"]: r["root"] for r in minhash.roots(as_sets(spark, found, [])).collect()}
+    assert got == {0: 0, 1: 0}
