@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against brute force over edited copies."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from corpusloom.llm import minhash, simhash
@@ -80,3 +81,68 @@ def test_fingerprints_within_two_bits_are_linked_without_a_common_band(spark):
     assert pairs == {(a, b) for a in range(4) for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= 2}
     got = {r["vertex"]: r["root"] for r in minhash.roots(as_sets(spark, found, [])).collect()}
     assert got == {0: 0, 1: 0}
+
+
+def group_of_near_copies(members=150, seed=2):
+    """Sets of one base, each with its own edits: many similar to no other, all in one bucket."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    found = []
+    for _ in range(members):
+        copy = base.copy()
+        for at in rng.choice(30, int(rng.integers(1, 15)), replace=False):
+            copy[5 * at : 5 * at + 5] = rng.integers(0, 2**64, 5, dtype=np.uint64)
+        found.append(np.unique(copy))
+    return found
+
+
+def components_of(found):
+    root = list(range(len(found)))
+    for a in range(len(found)):
+        for b in range(a):
+            shared = len(np.intersect1d(found[a], found[b]))
+            if 9 * shared >= 4 * (len(found[a]) + len(found[b])) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [minhash.MOST, 4000, 100])
+def test_a_large_bucket_is_connected_without_its_pairs(spark, most):
+    found = group_of_near_copies()
+    expected = components_of(found)
+    assert 10 < len(set(expected)) < len(found) - 10
+    whole = as_sets(spark, found, [1, 2])
+    rows = whole.selectExpr("explode(bands) key", "id", "size(shingles) n", "id root")
+    links = minhash.within(rows, whole, most)
+    assert links.count() < 8 * len(found)
+    got = {r["vertex"]: r["root"] for r in simhash.components(links).collect()}
+    assert [got.get(k, k) for k in range(len(found))] == expected
+    # Before, the members were paired in rows: here the center's alone are, and a row of each in a part.
+    assert minhash.central(rows).count() < len(found)
+    if most == minhash.MOST:
+        assert minhash.blocks(rows, most).count() == len(found)
+
+
+def test_blocks_of_a_bucket_join_all_but_its_largest_component(spark):
+    found = group_of_near_copies(60, 4)
+    whole = as_sets(spark, found, [1])
+    rows = whole.selectExpr("explode(bands) key", "id", "size(shingles) n", "if(id < 40, 0, id) root")
+    met = {}
+    for r in minhash.blocks(rows, 1200).collect():
+        met.setdefault(r["part"], set()).add(r["id"])
+    together = {(a, b) for ids in met.values() for a in ids for b in ids}
+    assert len(met) > 10
+    assert all((a, b) in together for a in range(60) for b in range(60) if a >= 40 or b >= 40)
+
+
+def test_spanning_against_brute_force():
+    for seed in range(5):
+        found = [np.unique(s.astype(np.uint32).view(np.int32)) for s in group_of_near_copies(80, seed)]
+        expected = components_of(found)
+        root = list(range(80))
+        for a, b in minhash.spanning(found, np.arange(80)):
+            x, y = sorted((root[a], root[b]))
+            assert x != y
+            root = [x if r == y else r for r in root]
+        assert root == expected
