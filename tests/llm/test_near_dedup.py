@@ -146,3 +146,31 @@ def test_spanning_against_brute_force():
             assert x != y
             root = [x if r == y else r for r in root]
         assert root == expected
+
+
+def test_no_table_of_the_stage_holds_a_groups_pairs(spark, table, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 7)) for _ in range(4000)]
+    base = list(rng.choice(words, 150))
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.choice(30, int(rng.integers(2, 6)), replace=False):
+            copy[5 * at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    made, cut, written = [], minhash.common.cut, minhash.common.written
+
+    def counted(keep):
+        def kept(df):
+            df = keep(df)
+            made.append(df.count())
+            return df
+
+        return kept
+
+    monkeypatch.setattr(minhash.common, "cut", counted(cut))
+    monkeypatch.setattr(minhash.common, "written", counted(written))
+    docs = spark.read.parquet(table(texts) + "/documents.parquet")
+    assert {r["doc_id"] for r in minhash.firsts(docs).collect()} == set(brute_force(texts))
+    # The members' bands; their pairs are 79800.
+    assert max(made) <= minhash.BANDS * len(texts)
