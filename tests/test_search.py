@@ -110,3 +110,14 @@ def test_recovery_over_jobs(spark):
     assert set(rows) == {(k, a, s) for k in (0, 1) for a, s in (("restart-anneal-v1", 0), ("restart-anneal-v1", 1), ("beam-v1", 0))}
     assert all(r["letters"] == 300 and 0 <= r["recovered"] <= 300 for r in rows.values())
     assert search.best_of(got).count() == 4
+
+
+def test_grams_are_counted_inside_tasks(spark, tmp_path):
+    """No row for a place in a text, no string across two texts, and the texts' own counts."""
+    from corpusloom.plans import shared
+
+    texts = ["abcdab", "", None, "Abc", "x", "éèbcd", "ab cd", "wjk!"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = shared.gram_counts(spark, str(tmp_path))
+    assert "Generate explode" not in found._jdf.queryExecution().toString()
+    assert {r["g"]: r["n"] for r in found.collect()} == {"abcd": 2, "bcda": 1, "cdab": 1, "eebc": 1, "ebcd": 1, "uuic": 1}
