@@ -118,3 +118,19 @@ def test_submissions_make_no_python_group_of_a_key(spark, tmp_path):
     assert "Pandas" not in rows._jdf.queryExecution().toString() and kept.count() == 1
     got = {r["id"]: (r["verdict"], r["late"]) for r in credit.drained(work).collect()}
     assert got == {1: ("received", False), 2: ("conflict", False), 3: ("duplicate", True), 4: ("conflict", False), 5: ("received", False), 6: ("conflict", False)}
+
+
+def test_bootstrapped_values_are_those_of_the_drawn_pages(spark, lines, monkeypatch):
+    """Each run's draws, slab by slab, put together and measured in memory."""
+    rows = lines.orderBy("page_no", "line_no").collect()
+    pages = sorted({r["page_no"] for r in rows})
+    words = np.array([sum(len(r["words"]) for r in rows if r["page_no"] == p) for p in pages])
+    got = sweeps.bootstrapped(lines, 5, 3)
+    slabs = min(len(pages), 3 * spark.sparkContext.defaultParallelism)
+    for run, n in enumerate(sweeps.enough(words, 3, range(5))):
+        drawn = sweeps.drawn_blocks(3, run, n, len(pages))
+        assert words[drawn].sum() >= words.sum() > words[drawn[:-1]].sum()
+        stream = [r for k in range(slabs) for b in drawn if b % slabs == k for r in rows if r["page_no"] == pages[b]]
+        expected = textstats.fingerprint([r["words"] for r in stream], {k for k, r in enumerate(stream) if r["para_start"]})
+        assert np.allclose(got[run], expected, atol=1e-9)
+    assert TargetOptions().resamples == 200 and sweeps.target.__defaults__[0] == TargetOptions()
