@@ -134,3 +134,11 @@ def test_bootstrapped_values_are_those_of_the_drawn_pages(spark, lines, monkeypa
         expected = textstats.fingerprint([r["words"] for r in stream], {k for k, r in enumerate(stream) if r["para_start"]})
         assert np.allclose(got[run], expected, atol=1e-9)
     assert TargetOptions().resamples == 200 and sweeps.target.__defaults__[0] == TargetOptions()
+
+
+def test_a_page_of_any_size_is_ranked(spark):
+    """The registered rank test declares no bounds: a page of over 20,000 lines has its rank."""
+    observed = [["ab"]] * 20_001
+    pages = spark.createDataFrame([(1, observed)], "page_no bigint, lines array<array<string>>")
+    row = sweeps.conditional_ranks(pages, "gibberish", {"len_n": 1}, TargetOptions(2, 91), references=1, targets=1).first()
+    assert math.isfinite(row["score"]) and row["p"] in (0.5, 1.0)
