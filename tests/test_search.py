@@ -121,3 +121,12 @@ def test_grams_are_counted_inside_tasks(spark, tmp_path):
     found = shared.gram_counts(spark, str(tmp_path))
     assert "Generate explode" not in found._jdf.queryExecution().toString()
     assert {r["g"]: r["n"] for r in found.collect()} == {"abcd": 2, "bcda": 1, "cdab": 1, "eebc": 1, "ebcd": 1, "uuic": 1}
+
+
+def test_words_of_one_stratum_take_one_pass(spark):
+    from corpusloom.plans import catalog, shared
+
+    got = catalog.QUERIES["corpus_differences"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in got._jdf.queryExecution().toString()
+    expected = shared.query(shared.TEXTS["corpus_differences"])(spark, "/root/testdata/sf0.001")
+    assert sorted(r["w"] for r in got.collect()) == sorted(r["w"] for r in expected.collect())
