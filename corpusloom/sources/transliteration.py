@@ -8,6 +8,7 @@ render() gives the text back exactly; what isn't a locus, a page or the header i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -138,6 +139,47 @@ class View:
         return found, "para_start" in flags, "para_end" in flags
 
 
+    def read(self, text: str, line: int = 1) -> tuple[list[str], bool, bool]:
+        """words() of a text's items. Text without alternative readings is taken apart by patterns; any
+        other, and what may be malformed, item by item."""
+        flat = self.flattened(text)
+        if flat is None:
+            return self.words(parse_items(text, line))
+        glyphs, flags = flat
+        dropping = "".join(c for c, on in (("?", self.drop_unreadable), ("*", self.drop_rare)) if on)
+        found = [w for w in glyphs.split(" ") if w and not any(c in w for c in dropping)]
+        return found, "<%>" in flags, "<$>" in flags
+
+    def flattened(self, text: str) -> tuple[str, list[str]] | None:
+        """The glyphs, with a space where words part, and the tags; None if it takes a parser."""
+        if any(c in text for c in _MARKS):
+            return None
+        flags = _TAG.findall(text)
+        if flags:
+            gaps = {tag for tag, on in (("<->", self.gap_parts), ("<~>", self.gap_without_break_parts)) if on}
+            text = _TAG.sub(lambda m: _MARKS[1] if m[0] in gaps else _MARKS[0], text)
+        if "<" in text or "[" in text:
+            return None
+        while "{" in text:
+            text, n = _LIGATURE.subn(_MARKS[0] + r"\1" + _MARKS[0], text)
+            if not n:
+                return None
+        text = _RARE.sub(_MARKS[2], text)
+        return text.translate(_GLYPHS[self.uncertain_space_parts]), flags
+
+
+class _Glyphs(dict):
+    def __missing__(self, code: int) -> str:
+        return "*"
+
+
+#: Stand for what was taken out, for a gap, and for a rare code.
+_MARKS = "\x00\x01\x02"
+_TAG, _LIGATURE, _RARE = re.compile(r"<[^>]*>"), re.compile(r"\{([^{}]*)\}"), re.compile(r"@[0-9]+;")
+_ASCII = {k: chr(k) if chr(k).isalnum() else "" for k in range(128)} | {ord("."): " ", ord("?"): "?", 1: " ", 2: "*"}
+#: What each character becomes, by whether an uncertain space parts words.
+_GLYPHS = {on: _Glyphs(_ASCII | {ord(","): " " if on else ""}) for on in (True, False)}
+
 #: Paragraph text, and text of every category.
 PARAGRAPHS = View("para-v1", "P")
 ALL = replace(PARAGRAPHS, id="all-v1", categories="PLCRTX")
@@ -224,7 +266,7 @@ def corpus(files: DataFrame, view: View = PARAGRAPHS) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = batch.column(2).to_pylist()
-            found = [view.words(parse_items(t, n)) for t, n in zip(batch.column(4).to_pylist(), numbers)]
+            found = [view.read(t, n) for t, n in zip(batch.column(4).to_pylist(), numbers)]
             kept = [k for k, (ws, _, _) in enumerate(found) if ws]
             some = batch.take(pa.array(kept, pa.int32()))
             made = [pa.array([found[k][0] for k in kept], pa.list_(pa.string())), *(pa.array([found[k][j] for k in kept], pa.bool_()) for j in (1, 2))]
@@ -233,6 +275,8 @@ def corpus(files: DataFrame, view: View = PARAGRAPHS) -> DataFrame:
     # Text outside the view is parsed too: a file with an unbalanced bracket is malformed under any.
     every = loci(files).withColumn("_in", F.instr(F.lit(view.categories), F.col("category")) > 0)
     chosen = every.select("path", F.col("page_index").cast("bigint").alias("page_index"), "line_no", F.when(F.col("_in"), F.col("number")).alias("number"), "text")
+    # A task's work is that of its letters: many more than the bytes that tasks are sized by.
+    chosen = chosen.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
     return chosen.mapInArrow(rows, schema).where("number IS NOT NULL")
 
 

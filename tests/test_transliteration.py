@@ -79,3 +79,28 @@ def test_headers_are_checked(spark, text, said):
         T.headers(spark.createDataFrame([("x", text)], "path string, value string")).collect()
     with pytest.raises(T.Malformed):
         T.parse_items("a<b")
+
+
+def test_text_read_by_patterns_is_that_read_by_items():
+    import random
+    from dataclasses import replace
+
+    from corpusloom.sources import transliteration as t
+
+    rng, quick = random.Random(5), 0
+    parts = ["a", "qo", "k9", ".", ",", "?", "'", "!", "%", "*", " ", "@", "@12;", "1", ";", "{", "}", "{ch}", "[a:b]", "[", "]", ":", "<->", "<~>", "<%>", "<$>", "<!no. {>", "<@H=2>", "<x", ">", "é", "\x01", "\x00"]
+    views = [t.PARAGRAPHS, replace(t.ALL, uncertain_space_parts=False, gap_parts=False, gap_without_break_parts=True, drop_unreadable=False, drop_rare=False)]
+    for k in range(6000):
+        text = "".join(rng.choices(parts[: 15 + k % 20], k=rng.randint(0, 14)))
+        for view in views:
+            try:
+                expected = view.words(t.parse_items(text))
+            except t.Malformed:
+                expected = None
+            try:
+                got = view.read(text)
+            except t.Malformed:
+                got = None
+            assert got == expected, text
+            quick += view.flattened(text) is not None
+    assert quick > 4000
